@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import values as V
-from .scalars import est_tokens, strip
+from .scalars import est_tokens, strip, tokens_of_chars
 
 SECTION = "struct<header:string,level:int,content:string>"
 FOLD_BLOCK = 256
@@ -23,6 +23,7 @@ FOLD_BLOCK = 256
 # U+0002 of its own, U+0002 plus a letter stands for them.
 _HIDDEN = "\x01"
 _ESCAPE = "\x02"
+_ALL = (1 << 31) - 1
 
 
 def _section(header: Column, level: Column, content: Column) -> Column:
@@ -42,26 +43,41 @@ def protect_fences(text: Column) -> Column:
             F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPE + "b")), F.lit(_HIDDEN), F.lit(_ESCAPE + "a")
         ),
     ).otherwise(text)
-    pieces = F.zip_with(
-        F.split(escaped, V.FENCE, -1),
-        F.regexp_extract_all(escaped, F.lit(V.FENCE), F.lit(0)),
-        lambda between, fence: F.concat(
-            between, F.coalesce(F.translate(fence, "\n", _HIDDEN), F.lit(""))
+    # a fence opens at every other mark; what follows an opening mark that is never closed
+    # is the last piece and stays as it is
+    hidden = _let(
+        F.split(escaped, V.FENCE_MARK, -1),
+        lambda pieces: F.transform(
+            pieces,
+            lambda piece, i: F.when(
+                (i % 2 == 1) & (i < F.size(pieces) - 1), F.replace(piece, F.lit("\n"), F.lit(_HIDDEN))
+            ).otherwise(piece),
         ),
     )
-    return F.when(F.contains(text, F.lit("```")), F.array_join(pieces, "")).otherwise(escaped)
+    return F.array_join(hidden, V.FENCE_MARK)
 
 
 def restore_fences(text: Column) -> Column:
-    shown = F.translate(text, _HIDDEN, "\n")
-    shown = F.replace(shown, F.lit(_ESCAPE + "a"), F.lit(_HIDDEN))
-    return F.replace(shown, F.lit(_ESCAPE + "b"), F.lit(_ESCAPE))
+    shown = F.replace(text, F.lit(_HIDDEN), F.lit("\n"))
+    unescaped = F.replace(
+        F.replace(shown, F.lit(_ESCAPE + "a"), F.lit(_HIDDEN)), F.lit(_ESCAPE + "b"), F.lit(_ESCAPE)
+    )
+    return F.when(F.contains(text, F.lit(_ESCAPE)), unescaped).otherwise(shown)
+
+
+def _needs_protection(text: Column) -> Column:
+    return (
+        F.contains(text, F.lit(V.FENCE_MARK))
+        | F.contains(text, F.lit(_HIDDEN))
+        | F.contains(text, F.lit(_ESCAPE))
+    )
 
 
-def split_sections(protected: Column) -> Column:
-    """Sections of a text with protected fences, in order, blank parts dropped."""
+def split_at_headers(text: Column, restore: Callable[[Column], Column] = lambda t: t) -> Column:
+    """Sections of a text in order, blank parts dropped. ``restore`` is applied to headers
+    and contents."""
     parts = F.filter(
-        F.transform(F.split(protected, V.HEADER_START, -1), strip), lambda part: part != ""
+        F.transform(F.split(text, V.HEADER_START, -1), strip), lambda part: part != ""
     )
     opened = F.transform(
         parts,
@@ -71,15 +87,30 @@ def split_sections(protected: Column) -> Column:
     )
 
     def to_section(p: Column) -> Column:
-        level = F.when(p["line"] == "", 0).when(p["line"].startswith("###"), 3).otherwise(2)
-        title = strip(F.substring(p["line"], level + 1, F.length(p["line"])))
-        header = F.when(p["line"] == "", F.lit(V.INTRODUCTION)).otherwise(restore_fences(title))
-        rest = strip(F.substring(p["part"], F.length(p["line"]) + 1, F.length(p["part"])))
-        return _section(header, level, restore_fences(rest))
+        rest = F.substring(p["part"], F.length(p["line"]) + 1, F.lit(_ALL))
+        return F.when(
+            p["line"] == "", _section(F.lit(V.INTRODUCTION), F.lit(0), restore(p["part"]))
+        ).otherwise(
+            _section(
+                restore(strip(F.substring(p["line"], level(p) + 1, F.lit(_ALL)))),
+                level(p),
+                restore(strip(rest)),
+            )
+        )
+
+    def level(p: Column) -> Column:
+        return F.when(p["line"].startswith("###"), 3).otherwise(2)
 
     return F.transform(opened, to_section)
 
 
+def split_sections(text: Column) -> Column:
+    """Sections of a text; only a text with fences pays for their protection."""
+    return F.when(
+        _needs_protection(text), split_at_headers(protect_fences(text), restore_fences)
+    ).otherwise(split_at_headers(text))
+
+
 def _blocked_fold(items: Column, output: str, start: Column, step: Callable[[Column, Column], Column]) -> Column:
     """Left fold with a state ``struct(out, open)``, appending block by block."""
     empty = F.array().cast(f"array<{output}>")
@@ -141,31 +172,39 @@ def merge_small(sections: Column, min_tokens: int = V.MIN_TOKENS) -> Column:
             )
         )
 
-    return _let(_blocked_fold(sections, SECTION, none, step), finish)
+    return _let(sections, lambda items: _let(_blocked_fold(items, SECTION, none, step), finish))
 
 
 def pack_paragraphs(content: Column, max_tokens: int = V.MAX_TOKENS) -> Column:
     """Pieces of a long content: paragraphs packed greedily, none of them cut."""
 
+    def opened(text: Column, chars: Column) -> Column:
+        return F.struct(text.alias("text"), chars.alias("chars"))
+
     def step(state: Column, paragraph: Column) -> Column:
         current = state["open"]
-        joined = F.when(current == "", paragraph).otherwise(
-            F.concat(current, F.lit("\n\n"), paragraph)
-        )
-        full = (current != "") & (
-            F.floor((F.length(current) + F.length(paragraph) + 2) / V.CHARS_PER_TOKEN) > max_tokens
+        chars = current["chars"] + 2 + F.length(paragraph)
+        joined = opened(F.concat(current["text"], F.lit("\n\n"), paragraph), chars)
+        alone = opened(paragraph, F.length(paragraph))
+        return (
+            F.when(current["chars"] == 0, F.struct(state["out"].alias("out"), alone.alias("open")))
+            .when(
+                tokens_of_chars(chars) > max_tokens,
+                F.struct(
+                    F.array_append(state["out"], strip(current["text"])).alias("out"),
+                    alone.alias("open"),
+                ),
+            )
+            .otherwise(F.struct(state["out"].alias("out"), joined.alias("open")))
         )
-        return F.when(
-            full,
-            F.struct(F.array_append(state["out"], strip(current)).alias("out"), paragraph.alias("open")),
-        ).otherwise(F.struct(state["out"].alias("out"), joined.alias("open")))
 
     def finish(r: Column) -> Column:
-        tail = strip(r["open"])
+        tail = strip(r["open"]["text"])
         return F.when(tail == "", r["out"]).otherwise(F.array_append(r["out"], tail))
 
+    start = opened(F.lit(""), F.lit(0))
     paragraphs = F.split(content, V.PARAGRAPH_BREAK, -1)
-    return _let(paragraphs, lambda p: _let(_blocked_fold(p, "string", F.lit(""), step), finish))
+    return _let(paragraphs, lambda p: _let(_blocked_fold(p, "string", start, step), finish))
 
 
 def split_large(sections: Column, max_tokens: int = V.MAX_TOKENS) -> Column:
@@ -196,6 +235,6 @@ def chunk_sections(
 ) -> Column:
     """Text to its final sections: header split, merge, split."""
     return _let(
-        split_sections(protect_fences(text)),
+        split_sections(text),
         lambda sections: split_large(merge_small(sections, min_tokens), max_tokens),
     )

@@ -143,7 +143,12 @@ def strip_translation_header(text: Column) -> Column:
 
 
 def est_tokens(text: Column) -> Column:
-    return F.floor(F.length(text) / V.CHARS_PER_TOKEN).cast("int")
+    return tokens_of_chars(F.length(text))
+
+
+def tokens_of_chars(chars: Column) -> Column:
+    """Characters by four, rounded down."""
+    return F.shiftright(chars, V.CHARS_PER_TOKEN.bit_length() - 1)
 
 
 def chunk_prefix(source_file: Column, date: Column, section: Column) -> Column:
@@ -171,7 +176,7 @@ def stored_preview(content: Column, chars: int = V.STORED_PREVIEW) -> Column:
 
 def shown_preview(preview: Column, chars: int = V.SHOWN_PREVIEW) -> Column:
     """One line for display: newlines to blanks, trimmed, cut with dots."""
-    line = strip(F.translate(preview, "\n", " "))
+    line = strip(F.replace(preview, F.lit("\n"), F.lit(" ")))
     return F.when(F.length(line) > chars, F.concat(F.substring(line, 1, chars), F.lit("..."))).otherwise(line)
 
 

@@ -17,8 +17,8 @@ WS = (
 )
 
 # --- fixed values: markdown ---------------------------------------------------
-FENCE = r"```[\s\S]*?```"
-HEADER_START = rf"(?md)(?=^#{{2,3}}[{WS}])"
+FENCE_MARK = "```"
+HEADER_START = rf"\n(?=#{{2,3}}[{WS}])"
 HEADER_LINE = rf"^#{{2,3}}[{WS}]+[^\n]+"
 PARAGRAPH_BREAK = r"\n\n+"
 INTRODUCTION = "Introduction"

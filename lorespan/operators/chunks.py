@@ -55,7 +55,7 @@ def chunk_corpus(
 
 def inspect_chunks(chunks: DataFrame) -> DataFrame:
     """Per chunk: section, token estimate of its full text, preview on one line."""
-    preview = F.translate(F.substring("content", 1, V.SHOWN_PREVIEW), "\n", " ")
+    preview = F.replace(F.substring("content", 1, V.SHOWN_PREVIEW), F.lit("\n"), F.lit(" "))
     return chunks.select(
         "source_file",
         "chunk_index",

@@ -118,11 +118,13 @@ def s5(spark, sf_dir):
 
 
 MANIFEST_OUT = ["relpath", "original_hash", "original_mtime", "language", "date", "status", "size", "chunk_count", "error"]
-MANIFEST_SQL = f"with {D.MANIFEST} select {', '.join(MANIFEST_OUT)} from manifest"
+MANIFEST_OUT_SQL = "coalesce(chunk_count, -1) as chunk_count, " + ", ".join(c for c in MANIFEST_OUT if c != "chunk_count")
+MANIFEST_SQL = f"with {D.MANIFEST} select {MANIFEST_OUT_SQL} from manifest"
 
 
 def manifest_out(df: DataFrame) -> DataFrame:
-    return df.withColumn("original_mtime", F.unix_micros("original_mtime")).select(*MANIFEST_OUT)
+    counted = df.withColumn("chunk_count", F.coalesce("chunk_count", F.lit(-1)))
+    return counted.withColumn("original_mtime", F.unix_micros("original_mtime")).select(*MANIFEST_OUT)
 
 
 @query("s6_manifest_round_trip", MANIFEST_SQL)
@@ -383,12 +385,12 @@ _UNNEST = """ select relpath, (i - 1)::int as i, s.h as header, s.l as level, s.
 
 @query("c2_split_sections", f"with {D.DOCS}, {D.sql_sections('docs')}" + _UNNEST.format("split1"))
 def c2(spark, sf_dir):
-    return exploded(D.docs(spark, sf_dir), C.split_sections(C.protect_fences(F.col("text"))))
+    return exploded(D.docs(spark, sf_dir), C.split_sections(F.col("text")))
 
 
 @query("c3_merge_small", f"with {D.DOCS}, {D.sql_sections('docs')}, {D.sql_merged()}" + _UNNEST.format("merged"))
 def c3(spark, sf_dir):
-    sections = C.split_sections(C.protect_fences(F.col("text")))
+    sections = C.split_sections(F.col("text"))
     return exploded(D.docs(spark, sf_dir), C.merge_small(sections, D.MIN_TOKENS))
 
 
@@ -424,12 +426,14 @@ def c6_sizes(spark, sf_dir):
 
 @query("j1_detect_changes", SCAN_SQL + """ select relpath, action, case when action <> 'deleted' then language end as language,
     case when action <> 'deleted' then date end as date, case when action <> 'deleted' then status end as status,
-    case when action <> 'deleted' then hash end as hash, mtime, size from scanned where action <> 'unchanged'""")
+    case when action <> 'deleted' then hash end as hash, coalesce(mtime, -1) as mtime, coalesce(size, -1) as size from scanned where action <> 'unchanged'""")
 def j1(spark, sf_dir):
     found = CH.detect_changes(
         D.corpus(spark, sf_dir), D.manifest(spark, sf_dir), markers=D.FRENCH, source=D.SOURCE
     )
-    return found.withColumn("mtime", F.unix_micros("mtime"))
+    return found.withColumn("mtime", F.coalesce(F.unix_micros("mtime"), F.lit(-1))).withColumn(
+        "size", F.coalesce("size", F.lit(-1))
+    )
 
 
 @query("j1_classify", SCAN_SQL + " select relpath, action, touched from scanned")
@@ -494,19 +498,19 @@ def j8(spark, sf_dir):
 # --- aggregates -------------------------------------------------------------------------
 
 
-@query("a1_scan_stats", SCAN_SQL + """ select count_if(action <> 'deleted') as total_files,
-    count_if(action = 'unchanged') as unchanged, count_if(action = 'new') as new, count_if(action = 'changed') as changed,
-    count_if(action = 'deleted') as deleted, count_if(status = 'pending_translation') as pending_translation,
-    count_if(status = 'pending_index') as pending_index, count(mr) as manifest_entries,
-    count_if(was_status = 'indexed') as indexed from scanned""")
+@query("a1_scan_stats", SCAN_SQL + """ select count(*) filter (where action <> 'deleted') as total_files,
+    count(*) filter (where action = 'unchanged') as unchanged, count(*) filter (where action = 'new') as new, count(*) filter (where action = 'changed') as changed,
+    count(*) filter (where action = 'deleted') as deleted, count(*) filter (where status = 'pending_translation') as pending_translation,
+    count(*) filter (where status = 'pending_index') as pending_index, count(mr) as manifest_entries,
+    count(*) filter (where was_status = 'indexed') as indexed from scanned""")
 def a1(spark, sf_dir):
     return CH.scan_stats(scanned(spark, sf_dir))
 
 
 @query("a2_index_status", f"with {D.MANIFEST}, {D.sql_chunks()}" + """ select count(*) as manifest_entries,
-    count_if(status = 'indexed') as indexed, count_if(status = 'pending_translation') as pending_translation,
-    count_if(status = 'pending_index') as pending_index, count_if(status = 'error') as errors,
-    count_if(language = 'fr') as source_files, count_if(language = 'en') as target_files,
+    count(*) filter (where status = 'indexed') as indexed, count(*) filter (where status = 'pending_translation') as pending_translation,
+    count(*) filter (where status = 'pending_index') as pending_index, count(*) filter (where status = 'error') as errors,
+    count(*) filter (where language = 'fr') as source_files, count(*) filter (where language = 'en') as target_files,
     sum(coalesce(chunk_count, 0))::bigint as manifest_chunks, (select count(*) from chunks) as stored_chunks from manifest""")
 def a2(spark, sf_dir):
     return status.index_status(D.manifest(spark, sf_dir), chunk_table(spark, sf_dir), D.SOURCE)
@@ -517,7 +521,7 @@ def a3(spark, sf_dir):
     return status.language_counts(D.manifest(spark, sf_dir))
 
 
-@query("a5_status_count", f"with {D.MANIFEST} select count_if(status = 'pending_translation') as files from manifest")
+@query("a5_status_count", f"with {D.MANIFEST} select count(*) filter (where status = 'pending_translation') as files from manifest")
 def a5(spark, sf_dir):
     return status.status_count(D.manifest(spark, sf_dir), "pending_translation")
 
@@ -580,8 +584,8 @@ def t3(spark, sf_dir):
 
 
 @query("t3_sources_to_json", f"""with {D.MANIFEST}, listed as ({LISTED} limit 25)
-    select unnest(range(1, 26))::int as place, (select count(*) from listed) as total_matched,
-      (select count(*) from listed) >= 25 as truncated, unnest((select list(path order by path) from listed)) as path""")
+    select row_number() over (order by path)::int as place, (select count(*) from listed) as total_matched,
+      (select count(*) from listed) >= 25 as truncated, path from listed""")
 def t3_json(spark, sf_dir):
     document = reports.sources_to_json(t3(spark, sf_dir))
     schema = "files array<struct<path string>>, total_matched bigint, truncated boolean"
@@ -631,17 +635,17 @@ PATCH_SQL = f"""with {D.MANIFEST}, patch as (select relpath, case when quality =
 
 
 @query("u3_upsert_replace", PATCH_SQL + """ select relpath, case when not hit then language end as language,
-    case when hit then s1 else s0 end as status, case when hit then c1 else c0 end as chunk_count from u""")
+    case when hit then s1 else s0 end as status, coalesce(case when hit then c1 else c0 end, -1) as chunk_count from u""")
 def u3_replace(spark, sf_dir):
     done = CH.upsert(D.manifest(spark, sf_dir), patch(spark, sf_dir), mode="replace")
-    return done.select("relpath", "language", "status", "chunk_count")
+    return done.select("relpath", "language", "status", F.coalesce("chunk_count", F.lit(-1)).alias("chunk_count"))
 
 
 @query("u3_upsert_merge", PATCH_SQL + """ select relpath, language, coalesce(s1, s0) as status,
-    coalesce(c1, c0) as chunk_count from u""")
+    coalesce(c1, c0, -1) as chunk_count from u""")
 def u3_merge(spark, sf_dir):
     done = CH.upsert(D.manifest(spark, sf_dir), patch(spark, sf_dir), mode="merge")
-    return done.select("relpath", "language", "status", "chunk_count")
+    return done.select("relpath", "language", "status", F.coalesce("chunk_count", F.lit(-1)).alias("chunk_count"))
 
 
 @query("u4_delete_keys", f"""with {D.MANIFEST} select relpath, status from manifest
@@ -821,7 +825,7 @@ def updated(spark, sf_dir, **more) -> IX.IndexResult:
     )
 
 
-@query("i1_update_manifest", UPDATED_SQL + f" select {', '.join(MANIFEST_OUT)} from updated")
+@query("i1_update_manifest", UPDATED_SQL + f" select {MANIFEST_OUT_SQL} from updated")
 def i1(spark, sf_dir):
     return manifest_out(updated(spark, sf_dir).manifest)
 
@@ -846,7 +850,7 @@ def a4(spark, sf_dir):
     return updated(spark, sf_dir).summary
 
 
-@query("i1_update_store", UPDATED_SQL + f" select {', '.join(MANIFEST_OUT)} from updated")
+@query("i1_update_store", UPDATED_SQL + f" select {MANIFEST_OUT_SQL} from updated")
 def i1_store(spark, sf_dir):
     """The same update over persisted state."""
     held = seeded_store(spark, sf_dir)
@@ -1022,14 +1026,14 @@ def x2(spark, sf_dir):
     return labelled.select("relpath", "language")
 
 
-@query("x3_external_translator", f"""with {D.MANIFEST} select m.relpath, 'pending_index' as status, upper(c.text) as text
+@query("x3_external_translator", f"""with {D.MANIFEST} select m.relpath, 'pending_index' as status, replace(c.text, 'e', 'E') as text
     from manifest m join corpus c on c.relpath = m.relpath where m.status = 'pending_translation'""")
 def x3(spark, sf_dir):
     """Documents that wait go out, any outside program translates them, rows come back."""
 
     def translate(frames):
         for frame in frames:
-            yield frame.assign(text=frame["text"].str.upper())
+            yield frame.assign(text=frame["text"].str.replace("e", "E", regex=False))
 
     manifest = D.manifest(spark, sf_dir)
     waiting = routing.attach_text(routing.outgoing_translations(manifest).select("relpath"), D.corpus(spark, sf_dir))

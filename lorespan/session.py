@@ -22,6 +22,7 @@ def local_session(cpus: int | str = 8, app: str = "lorespan", memory: str = "12g
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
