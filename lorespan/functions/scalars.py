@@ -56,11 +56,20 @@ def valid_date(date: Column) -> Column:
     return F.try_to_date(date, "yyyy-MM-dd")
 
 
+# The same matches at linear cost: a run of non-blanks goes as a whole if it has a slash
+# inside, so only its start needs a look. Java's Unicode white space lacks the four control
+# separators, which become blanks before.
+_PATH, _BLANKS = V.CLEANING_STEPS[4][0], V.CLEANING_STEPS[6][0]
+_JAVA_FORM = {_PATH: r"(?U)(?<!\S)\S[^\s/]*+/\S++", _BLANKS: r"(?U)\s+"}
+
+
 def clean_for_language(text: Column) -> Column:
     """First characters of a text without code, links, markup, paths and prices."""
     cleaned = F.substring(text, 1, V.LANGUAGE_PREFIX_CHARS)
     for pattern, replacement in V.CLEANING_STEPS:
-        cleaned = F.regexp_replace(cleaned, pattern, replacement)
+        if pattern == _PATH:
+            cleaned = F.regexp_replace(cleaned, r"[\x1c-\x1f]", " ")
+        cleaned = F.regexp_replace(cleaned, _JAVA_FORM.get(pattern, pattern), replacement)
     return strip(cleaned)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,18 @@ def _optional(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
 
+@lru_cache(maxsize=32)
+def _sections_of(application: str, text: str, max_tokens: int, min_tokens: int) -> Column:
+    return C.chunk_sections(F.col(text), max_tokens, min_tokens)
+
+
+def sections_of(text: str, max_tokens: int, min_tokens: int) -> Column:
+    """The section array of a text column. The expression is long, so it is built once per
+    application and used again."""
+    application = SparkContext._active_spark_context.applicationId
+    return _sections_of(application, text, max_tokens, min_tokens)
+
+
 def chunk_corpus(
     docs: DataFrame, max_tokens: int = V.MAX_TOKENS, min_tokens: int = V.MIN_TOKENS
 ) -> DataFrame:
@@ -44,7 +59,7 @@ def chunk_corpus(
         _optional(docs, "date").alias("date"),
         _optional(docs, "language").alias("language"),
         _optional(docs, "original_hash").alias("original_hash"),
-        F.posexplode(C.chunk_sections(F.col("text"), max_tokens, min_tokens)).alias(
+        F.posexplode(sections_of("text", max_tokens, min_tokens)).alias(
             "chunk_index", "_section"
         ),
     )

@@ -10,10 +10,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import chunking as C
 from ..functions import values as V
 from ..operators.changes import classify, label_corpus, manifest_rows
-from ..operators.chunks import chunk_columns, drop_chunks
+from ..operators.chunks import chunk_columns, drop_chunks, sections_of
 from ..operators.embed import Embedder, embed
 from ..operators.routing import classify_indexability, prune_translations, route_pending
 from ..operators.search import search
@@ -72,7 +71,7 @@ def index_rows(
     text, also when one file or bucket holds a large share of the chunks.
     """
     routed = route_pending(todo, corpus, translations, options.translation_enabled, options.source)
-    sections = C.chunk_sections(F.col("body"), options.max_tokens, options.min_tokens)
+    sections = sections_of("body", options.max_tokens, options.min_tokens)
     exploded = (
         classify_indexability(routed)
         .drop("text", "missing")

@@ -15,7 +15,7 @@ from ..functions import scalars as S
 from ..functions import values as V
 from ..schemas import MANIFEST_COLUMNS
 from ..session import ensure_checkpoint_dir
-from ..sources.tables import corpus_from_table
+from ..sources.tables import corpus_from_table, spread
 
 SOURCE = "fr"
 FRENCH = {"fr": ["le|la|les|des|du|une|un|que|qui", "dans|pour|pas|est|sont|mais|donc|avec|en|et"]}
@@ -48,8 +48,12 @@ PATH = """case doc_id % 5
                 '/d', doc_id, '.md') end"""
 
 
+_KEYS = {"documents": "doc_id", "conversations": "conv_id", "embeddings": "vec_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, _KEYS[name]) if name in _KEYS else rows
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -23,6 +23,7 @@ def local_session(cpus: int | str = 8, app: str = "lorespan", memory: str = "12g
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
