@@ -68,6 +68,13 @@ def chunk_corpus(
     )
 
 
+def with_chunk_key(chunks: DataFrame) -> DataFrame:
+    """Add ``chunk_key``, which is unique. The short hashes of ``id`` are not, when a table
+    holds very many copies of one text."""
+    number = F.lpad(F.col("chunk_index").cast("string"), 9, "0")
+    return chunks.withColumn("chunk_key", F.concat_ws("#", "source_file", number))
+
+
 def inspect_chunks(chunks: DataFrame) -> DataFrame:
     """Per chunk: section, token estimate of its full text, preview on one line."""
     preview = F.replace(F.substring("content", 1, V.SHOWN_PREVIEW), F.lit("\n"), F.lit(" "))

@@ -20,7 +20,7 @@ from .search import COSINE_PLACES, QUESTIONS_PER_PASS, best_rows, each_pass, que
 from .topk import QUESTIONS_PER_SLICE, rank_hits
 
 WORD = r"[\pL\pN]+"
-HOT_TERMS = 200_000
+HOT_TERMS = 500_000
 HOT_TERM_CHARS = 64
 HITS_TO_BROADCAST = 500_000
 
@@ -40,9 +40,11 @@ def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def vocabulary(counts: DataFrame) -> DataFrame:
-    """term, df over counted rows."""
-    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def vocabulary(df: DataFrame, text: str) -> DataFrame:
+    """term, df. Every row counts its own terms once where it is read; only partial counts
+    per term are shuffled."""
+    terms = df.select(F.explode(F.array_distinct(words(F.col(text)))).alias("term"))
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def idf(df: Column, total: int) -> Column:
@@ -119,17 +121,18 @@ def lexical_search(
     chunks: DataFrame,
     questions: DataFrame,
     top_k: int = V.TOP_K,
-    key: str = "id",
+    key: str = "chunk_key",
     text: str = "text",
     payload: list[str] | None = None,
     hot_limit: int = HOT_TERMS,
 ) -> DataFrame:
     """query_id, rank, key, score: rows that share at least one word with the question.
 
-    ``questions`` has query_id and question. ``key`` must be unique in ``chunks``.
+    ``questions`` has query_id and question. ``key`` must be unique in ``chunks``
+    (``with_chunk_key`` makes one).
     """
     counts = term_counts(chunks, key, text)
-    vocab = materialize(vocabulary(counts))
+    vocab = materialize(vocabulary(chunks, text))
     total = chunks.select(key).count()
     size = vocab.count()
     hot = vocab if size <= hot_limit else hot_terms(vocab, hot_limit)

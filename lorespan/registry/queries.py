@@ -746,28 +746,30 @@ def v4_half(spark, sf_dir):
 
 
 LEXICAL = f"""
-t as (select id, unnest({D.sql_tokens('text')}) as term from chunks),
-tf as (select id, term, count(*) as tf from t group by all),
+keyed as (select *, concat(source_file, '#', lpad(chunk_index::varchar, 9, '0')) as ck from chunks),
+t as (select ck, unnest({D.sql_tokens('text')}) as term from keyed),
+tf as (select ck, term, count(*) as tf from t group by all),
 dfq as (select term, count(*) as df from tf group by term),
 n as (select count(*) as n from chunks),
-w as (select id, tf.term, tf * (ln((n + 1.0::double) / (df + 1.0::double)) + 1) as w from tf join dfq using (term), n),
-nd as (select id, sqrt(sum(w * w)) as nd from w group by id),
+w as (select ck, tf.term, tf * (ln((n + 1.0::double) / (df + 1.0::double)) + 1) as w from tf join dfq using (term), n),
+nd as (select ck, sqrt(sum(w * w)) as nd from w group by ck),
 q as (select item_id as query_id, unnest({D.sql_tokens('text')}) as term from benchmark),
 qf as (select query_id, term, count(*) as tf from q group by all),
 qw as (select query_id, term, tf * (ln((n + 1.0::double) / (coalesce(df, 0) + 1.0::double)) + 1) as w
        from qf left join dfq using (term), n),
 nq as (select query_id, sqrt(sum(w * w)) as nq from qw group by query_id),
-dots as (select query_id, id, sum(qw.w * w.w) as dot from qw join w using (term) group by all),
-ranked as (select query_id, id, round(dot / nd / nq, 9) as cosine from dots join nd using (id) join nq using (query_id)),
-best as (select *, row_number() over (partition by query_id order by cosine desc, id)::int as rank from ranked
-  qualify row_number() over (partition by query_id order by cosine desc, id) <= 10)
-select query_id, rank, id, round(cosine, 4) as score, source_file, section from best join chunks using (id)"""
+dots as (select query_id, ck, sum(qw.w * w.w) as dot from qw join w using (term) group by all),
+ranked as (select query_id, ck, round(dot / nd / nq, 9) as cosine from dots join nd using (ck) join nq using (query_id)),
+best as (select *, row_number() over (partition by query_id order by cosine desc, ck)::int as rank from ranked
+  qualify row_number() over (partition by query_id order by cosine desc, ck) <= 10)
+select query_id, rank, id, round(cosine, 4) as score, source_file, section from best join keyed using (ck)"""
 
 
 @query("v5_lexical_search", CHUNKS_SQL + "," + LEXICAL)
 def v5(spark, sf_dir):
     hits = lexical.lexical_search(
-        chunk_table(spark, sf_dir), D.text_questions(spark, sf_dir), payload=["source_file", "section"]
+        CK.with_chunk_key(chunk_table(spark, sf_dir)), D.text_questions(spark, sf_dir),
+        payload=["id", "source_file", "section"],
     )
     return hits.select("query_id", "rank", "id", "score", "source_file", "section")
 
@@ -776,7 +778,8 @@ def v5(spark, sf_dir):
 def v5_split(spark, sf_dir):
     """The same with a small bound on what may be broadcast."""
     hits = lexical.lexical_search(
-        chunk_table(spark, sf_dir), D.text_questions(spark, sf_dir), payload=["source_file", "section"], hot_limit=100
+        CK.with_chunk_key(chunk_table(spark, sf_dir)), D.text_questions(spark, sf_dir),
+        payload=["id", "source_file", "section"], hot_limit=100,
     )
     return hits.select("query_id", "rank", "id", "score", "source_file", "section")
 

@@ -127,6 +127,8 @@ class IndexStore:
         broadcast as long as they are few; compaction keeps them so."""
         version, base = self.current()
         rows = rows.filter(F.col("v").between(base, version))
+        if version == base:
+            return rows
         replaced = (
             self._read("replaced", _REPLACED + ", v int")
             .filter(F.col("v").between(base + 1, version) & F.col(table))
