@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -135,8 +136,8 @@ def read_contents(files: DataFrame) -> DataFrame:
         for frame in frames:
             rows, held = [], 0
             for row in frame.itertuples(index=False):
-                filesystem, path = fs.FileSystem.from_uri(row.path) if ":" in row.path else (
-                    fs.LocalFileSystem(), row.path)
+                # the listing gives plain names, a URI wants them quoted
+                filesystem, path = fs.FileSystem.from_uri(quote(row.path, safe="/:@"))
                 try:
                     with filesystem.open_input_stream(path) as stream:
                         content = stream.read()

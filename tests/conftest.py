@@ -13,6 +13,7 @@ from lorespan.session import local_session  # noqa: E402
 def spark():
     session = local_session(4, "tests", memory="6g")
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     yield session
     session.stop()
 
