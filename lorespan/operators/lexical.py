@@ -179,8 +179,7 @@ def lexical_search(
         )
         return rank_hits(scored, top_k, score="cosine", ties=(key,)).drop("k")
 
-    longest = ask.agg(F.max(F.octet_length("question")).alias("bytes")).first()["bytes"] or 1
-    parts = question_passes(ask, 8 * longest)
+    parts = question_passes(ask, F.octet_length("question"), 8)
     hits = each_pass(parts, run)
     hits = hits.withColumn("score", F.round(F.col("cosine"), 4))
     if not payload:

@@ -14,7 +14,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,9 +82,11 @@ class Questions:
         return out
 
 
-def question_passes(questions: DataFrame, width_bytes: int) -> list[DataFrame]:
-    """Split questions so that each part fits the bound of one pass over the rows."""
-    count = questions.count()
+def question_passes(questions: DataFrame, width: Column, bytes_per_unit: int) -> list[DataFrame]:
+    """Split questions so that each part fits the bound of one pass over the rows. ``width`` is
+    measured on the widest question."""
+    size = questions.agg(F.count(F.lit(1)).alias("n"), F.max(width).alias("widest")).first()
+    count, width_bytes = size["n"], bytes_per_unit * (size["widest"] or 1)
     per_pass = max(1, min(QUESTIONS_PER_PASS, QUESTION_BYTES_PER_PASS // max(1, width_bytes)))
     passes = -(-count // per_pass)
     if passes <= 1:
@@ -202,8 +204,7 @@ def nearest(
         limit = "k" if "top_k" in asked else top_k
         return rank_hits(scored, limit, score="cosine", ties=ties).drop("k")
 
-    width = 8 * (questions.agg(F.max(F.size("embedding")).alias("d")).first()["d"] or 1)
-    hits = each_pass(question_passes(questions, width), run)
+    hits = each_pass(question_passes(questions, F.size("embedding"), 8), run)
     return hits.withColumn("score", S.similarity_score(F.col("cosine")))
 
 

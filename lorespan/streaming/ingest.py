@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import values as V
 from ..operators.changes import pending_changes
+from ..session import broadcast_if_small
 from ..sources.store import IndexStore
 from ..sources.tables import latest_versions
 
@@ -30,7 +31,13 @@ def read_landing(spark: SparkSession, path: str, files_per_batch: int = V.BATCH_
 def newer_versions(batch: DataFrame, store: IndexStore) -> DataFrame:
     """The last version per path, without those older than what the manifest records."""
     last = latest_versions(batch)
-    known = store.manifest().select(F.col("relpath").alias("_known"), "original_mtime")
+    # only the batch's own rows of the manifest take part in the join
+    keys = broadcast_if_small(last.select("relpath"))
+    known = (
+        store.manifest()
+        .join(keys, "relpath", "left_semi")
+        .select(F.col("relpath").alias("_known"), "original_mtime")
+    )
     return (
         last.join(known, F.col("relpath") == F.col("_known"), "left")
         .filter(F.col("original_mtime").isNull() | (F.col("mtime") >= F.col("original_mtime")))
