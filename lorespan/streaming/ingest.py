@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import values as V
 from ..operators.changes import pending_changes
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, materialize
 from ..sources.store import IndexStore
 from ..sources.tables import latest_versions
 
@@ -45,13 +45,18 @@ def newer_versions(batch: DataFrame, store: IndexStore) -> DataFrame:
     )
 
 
+def _reduced(batch: DataFrame, store: IndexStore) -> DataFrame:
+    """The versions of a batch, written once, as the steps of an update read them many times."""
+    return materialize(newer_versions(batch, store))
+
+
 def stream_update(
     stream: DataFrame, store: IndexStore, checkpoint: str, translations: DataFrame | None = None
 ) -> StreamingQuery:
     """Drain what has landed: every batch runs an update of the store."""
 
     def run(batch: DataFrame, _: int) -> None:
-        store.update(newer_versions(batch, store), translations, full_listing=False)
+        store.update(_reduced(batch, store), translations, full_listing=False)
 
     return (
         stream.writeStream.foreachBatch(run)
@@ -66,7 +71,7 @@ def stream_changes(stream: DataFrame, store: IndexStore, out: str, checkpoint: s
     when a batch is repeated) and scan them into the manifest, without indexing."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        versions = newer_versions(batch, store)
+        versions = _reduced(batch, store)
         found = pending_changes(store.scan(versions, full_listing=False))
         found.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         store.update(versions, full_listing=False, index=False)
