@@ -25,7 +25,8 @@ def render_notes(notes: DataFrame) -> DataFrame:
     A name is made of a stamp in seconds and the title: notes that share both share
     a path, and the last one wins when the corpus is read.
     """
-    stamp = F.date_format("written_at", STAMP_FORMAT)
+    utc = F.to_utc_timestamp("written_at", F.current_timezone())
+    stamp = F.date_format(utc, STAMP_FORMAT)
     title = _or_default("title", DEFAULT_TITLE)
     text = F.concat(
         F.lit("# Diary: "), title,

@@ -47,7 +47,7 @@ def entry(path, text, mtime=T0, status="indexed", language="en", count=None):
 def tree(tmp_path):
     for name in [
         "readme.md", "docs/guide.md", "node_modules/pkg.md", "venv/y.md", "manifest.json", "src/code.py",
-        "src/a b/deep é.py", "knowledge/diary/2026-06-27_000000_session.md", "knowledge/chroma_db/stray.md",
+        "src/a b/deep é.py", "knowledge/diary/2026-06-27_000000_session.md", "knowledge/db/stray.md",
         "knowledge/translations/copy.md", "sub/manifest.json",
     ]:
         path = tmp_path / name
