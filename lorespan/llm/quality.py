@@ -178,3 +178,9 @@ def ablations(
 def judge(docs: DataFrame, policy: Policy = POLICIES[-1], text: str = "text") -> DataFrame:
     """The ledger with `base_failed` and `kept` under the policy."""
     return ledger(docs, text=text).withColumns({"base_failed": ~passes(BASE), "kept": passes(policy)})
+
+
+def accepted(docs: DataFrame, policy: Policy = POLICIES[-1], text: str = "text") -> DataFrame:
+    """The documents that pass the policy, with their own columns."""
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[text].alias("text"))
+    return judge(row, policy).where("kept").select("doc.*")

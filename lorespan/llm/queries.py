@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, quality
+from . import decontam, neardup, packing, quality, secrets
+
+
+def tokenizer_path(name: str) -> str:
+    """A public tokenizer's file; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +110,41 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", decontam.contaminated().alias("contaminated")
     )
+
+
+SQL_NEARDUP = r"""
+with recursive d as (
+  select doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+p as (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) i from d where len(w) > 0),
+s as (select distinct doc_id, w[i:i + 3] g from p),
+n as (select doc_id, count(*) n from s group by doc_id),
+c as (select x.doc_id a, y.doc_id b, count(*) shared from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2),
+e as (
+  select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b
+  where 100 * shared >= 80 * (x.n + y.n - shared)),
+reach(a, b) as (select doc_id, doc_id from d union select reach.a, e.b from reach join e on reach.b = e.a),
+m as (select a doc_id, min(b) component_id from reach group by a)
+select doc_id, coalesce(n, 0)::bigint n_shingles, component_id, doc_id = component_id kept
+from m left join n using (doc_id)
+"""
+
+
+@query(SQL_NEARDUP)
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-word shingles, as the query's contract has it; the operator's default is five."""
+    return neardup.groups(_table(spark, sf_dir, "documents").select("doc_id", "text"), k=4)
+
+
+@query()
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document stands for a repository of its own, its source for the owner."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return secrets.secrets(docs).drop("live")
+
+
+@query()
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), with_ids=False)
