@@ -65,3 +65,9 @@ def total_bytes(df: DataFrame, column: str) -> int:
 def blocks_for(spark: SparkSession, size: int, target: int = 16 << 20) -> int:
     """How many shuffle partitions keep each at about `target` bytes."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // target), 1)
+
+
+def where_settled(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on computed columns without computing them again: a filter is not pushed below a
+    projection that numbers its rows."""
+    return df.withColumn("__settled", F.monotonically_increasing_id()).where(condition & (F.col("__settled") >= 0)).drop("__settled")

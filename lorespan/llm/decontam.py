@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import measured_bytes
-from .common import ascii_lower, item, let, positions
+from .common import ascii_lower, item, let, positions, where_settled
 
 NGRAM = 13
 ANCHOR = 3
@@ -140,7 +140,7 @@ def hits(
     w = F.col("__w")
     rows = docs.select(
         *[docs[c] for c in names], F.monotonically_increasing_id().alias("__row"), norm_words(docs[text]).alias("__w")
-    ).select(*plain, "__row", F.size(w).cast("bigint").alias("__n"), known.at(w).alias("__cut"))
+    ).select(*plain, "__row", F.size(w).cast("bigint").alias("__n"), let(w, known.at).alias("__cut"))
     rows = rows.select(*plain, "__row", "__n", F.explode_outer("__cut").alias("__c"))
     rows = rows.select(*plain, "__row", "__n", *[F.col(f"__c.{c}").alias(f"__{c}") for c in ("at", "size", "win")])
     t = known.table.select(F.col("size").alias("__s"), F.col("win").alias("__t"), F.col("items").alias("__items"))
@@ -192,13 +192,13 @@ def with_hits(
         )
     w = F.col("__w")
     rows = docs.select(doc, norm_words(docs[text]).alias("__w"))
-    rows = rows.select("doc", F.size(w).cast("bigint").alias("n_words"), merged(known.at(w)).alias("hit_spans"))
+    rows = rows.select("doc", F.size(w).cast("bigint").alias("n_words"), merged(let(w, known.at)).alias("hit_spans"))
     return rows.select("doc", "n_words", covered(F.col("hit_spans")).alias("n_hit"), "hit_spans")
 
 
 def remove_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    return with_hits(docs, items, **options).where(~contaminated()).select("doc.*")
+    return where_settled(with_hits(docs, items, **options), ~contaminated()).select("doc.*")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:

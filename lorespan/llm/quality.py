@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import item, let, positions, words
+from .common import item, let, positions, where_settled, words
 
 WINDOW = 3
 
@@ -111,7 +111,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.length(body) - F.length(F.regexp_replace(body, "[#*$%&|<>]", ""))).cast("bigint").alias("n_symbols"),
         F.size(lines).cast("bigint").alias("n_lines"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
-        _repeat_words(w).cast("bigint").alias("n_repeat_words"),
+        let(w, _repeat_words).cast("bigint").alias("n_repeat_words"),
         body.rlike(r"\p{L}").alias("has_letter"),
     )
 
@@ -183,4 +183,4 @@ def judge(docs: DataFrame, policy: Policy = POLICIES[-1], text: str = "text") ->
 def accepted(docs: DataFrame, policy: Policy = POLICIES[-1], text: str = "text") -> DataFrame:
     """The documents that pass the policy, with their own columns."""
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[text].alias("text"))
-    return judge(row, policy).where("kept").select("doc.*")
+    return where_settled(judge(row, policy), F.col("kept")).select("doc.*")
