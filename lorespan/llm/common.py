@@ -71,3 +71,19 @@ def where_settled(df: DataFrame, condition: Column) -> DataFrame:
     """Filter on computed columns without computing them again: a filter is not pushed below a
     projection that numbers its rows."""
     return df.withColumn("__settled", F.monotonically_increasing_id()).where(condition & (F.col("__settled") >= 0)).drop("__settled")
+
+
+def file_system(uri: str):
+    """A file system and path for tasks that write or read their own file format."""
+    from pyarrow import fs
+
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[5:]
+    return fs.FileSystem.from_uri(uri)
+
+
+def spread_files(files: DataFrame) -> DataFrame:
+    """A short list of files, dealt evenly to tasks."""
+    spark = files.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return files.repartition(tasks)

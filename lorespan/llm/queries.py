@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, neardup, packing, quality, secrets
+from . import decontam, neardup, packing, quality, secrets, tokenfiles
 
 
 def tokenizer_path(name: str) -> str:
@@ -148,3 +148,9 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), with_ids=False)
+
+
+@query()
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenfiles.read(tokenfiles.write(docs, tokenizer_path("byte_bpe_50k.json")), with_ids=False)
