@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, neardup, packing, quality, secrets, tokenfiles
+from . import archives, decontam, neardup, packing, quality, secrets, tokenfiles
 
 
 def tokenizer_path(name: str) -> str:
@@ -154,3 +154,23 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokenfiles.read(tokenfiles.write(docs, tokenizer_path("byte_bpe_50k.json")), with_ids=False)
+
+
+SQL_ARCHIVES = """
+with p as (
+  select page_id, url, octet_length(encode(coalesce(html, '')))::bigint payload_bytes, sha1(coalesce(html, '')) payload_digest
+  from pages),
+k as (select payload_digest, max(page_id) keep from p where payload_bytes >= 1000 group by 1)
+select page_id, url, payload_bytes, payload_digest,
+  case when payload_bytes >= 1000 and keep > page_id then 'revisit' else 'response' end record_type,
+  case when payload_bytes >= 1000 and keep > page_id then keep end refers_to
+from p left join k using (payload_digest)
+"""
+
+
+@query(SQL_ARCHIVES)
+def op3_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as ARC files of both versions, converted to WARC, and read back."""
+    arcs = archives.write_arc(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    records = archives.read_warc(archives.convert(arcs))
+    return records.select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
