@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, decontam, neardup, packing, quality, secrets, tokenfiles
+from . import archives, decontam, lm, neardup, packing, quality, secrets, tokenfiles
 
 
 def tokenizer_path(name: str) -> str:
@@ -174,3 +174,8 @@ def op3_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     arcs = archives.write_arc(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     records = archives.read_warc(archives.convert(arcs))
     return records.select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(_table(spark, sf_dir, "documents").select("doc_id", "text"))
