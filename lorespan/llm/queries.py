@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, decontam, lm, neardup, packing, quality, secrets, tokenfiles
+from . import archives, decontam, licenses, lm, neardup, packing, quality, secrets, tokenfiles
 
 
 def tokenizer_path(name: str) -> str:
@@ -179,3 +179,44 @@ def op3_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _sql_notices() -> str:
+    rows = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in licenses.NOTICES)
+    return f"(values {rows}) t(license, text)"
+
+
+SQL_LICENSES = rf"""
+with recursive sizes(size) as (select 1 union all select size + greatest(1, size // 8) from sizes where size < 5000),
+t0 as (select row_number() over () t, license, {_SQL_WORDS} w from {_sql_notices()}),
+t1 as (select t, license, w, least(5, len(w)) k, len(w) - least(5, len(w)) + 1 run from t0 where len(w) > 0),
+t2 as (select t, license, k, (select min(size) from sizes where size >= run) cls, w, unnest(range(1, run + 1)) i from t1),
+g as (select distinct t, license, k, cls, array_to_string(w[i:i + k - 1], ' ') gram from t2),
+m as (select t, count(*) m from g group by t),
+d as (select doc_id, {_SQL_WORDS} w from documents),
+p as (select doc_id, w, len(w) n, unnest(range(0, len(w))) p from d),
+h as (
+  select doc_id, n, p, z.k, array_to_string(w[p + 1:p + z.k], ' ') gram
+  from p, (select distinct k from g) z where p + z.k <= n),
+j as (
+  select doc_id, n, p, g.t, g.license, g.k, g.cls, h.gram, greatest(1, g.cls // 8) step
+  from h join g on h.k = g.k and h.gram = g.gram),
+a as (
+  select doc_id, n, t, license, k, cls, step, gram,
+    unnest(range(greatest(0, ceil((p - (cls + step - 2)) / step))::bigint, p // step + 1)) * step start from j),
+c as (
+  select doc_id, license, t, start, least(n - start, cls + step + k - 2) n_words, count(distinct gram) shared
+  from a group by doc_id, license, t, start, n, cls, step, k),
+r as (
+  select doc_id, license, m, shared, start, n_words, row_number() over (
+    partition by doc_id, license order by shared desc, start, n_words, m) rank
+  from c join m using (t) where 100 * shared >= 80 * m)
+select doc_id, license, m::bigint n_shingles, shared::bigint n_shared, start::bigint start_word, n_words::bigint n_words
+from r where rank = 1
+"""
+
+
+@query(SQL_LICENSES)
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs, licenses.notices(spark))
