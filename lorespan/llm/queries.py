@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, decontam, licenses, lm, neardup, packing, quality, secrets, tokenfiles
+from . import archives, decontam, layout, licenses, lm, neardup, packing, quality, secrets, tokenfiles
 
 
 def tokenizer_path(name: str) -> str:
@@ -220,3 +220,8 @@ from r where rank = 1
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan(docs, licenses.notices(spark))
+
+
+@query()
+def op4_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.extract(_table(spark, sf_dir, "pages").select("page_id", "html"))
