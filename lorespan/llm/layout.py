@@ -408,5 +408,5 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
                     [*names, "text", "n_lines", "n_chars"],
                 )
 
-    out = rows.drop("__page").schema.add("text", "string").add("n_lines", "bigint").add("n_chars", "bigint")
+    out = rows.drop("__page").schema.add("text", "string").add("n_lines", "long").add("n_chars", "long")
     return rows.mapInArrow(run, out)
