@@ -63,9 +63,10 @@ _PATH, _BLANKS = V.CLEANING_STEPS[4][0], V.CLEANING_STEPS[6][0]
 _JAVA_FORM = {_PATH: r"(?U)(?<!\S)\S[^\s/]*+/\S++", _BLANKS: r"(?U)\s+"}
 
 
-def clean_for_language(text: Column) -> Column:
-    """First characters of a text without code, links, markup, paths and prices."""
-    cleaned = F.substring(text, 1, V.LANGUAGE_PREFIX_CHARS)
+def clean_for_language(text: Column, prefix_chars: int | None = None) -> Column:
+    """A text without code, links, markup, paths and prices; of its first characters only if
+    asked for."""
+    cleaned = text if prefix_chars is None else F.substring(text, 1, prefix_chars)
     for pattern, replacement in V.CLEANING_STEPS:
         if pattern == _PATH:
             cleaned = F.regexp_replace(cleaned, r"[\x1c-\x1f]", " ")
@@ -111,6 +112,7 @@ def with_language(
     target: str = V.TARGET_LANGUAGE,
     threshold: int = V.LANGUAGE_THRESHOLD,
     detector=None,
+    prefix_chars: int | None = None,
 ) -> DataFrame:
     """Add ``language``. ``detector`` is an optional Column -> Column function (for
     example a pandas UDF) giving a language code; it is asked before the markers."""
@@ -120,7 +122,7 @@ def with_language(
         long_enough = F.length(cleaned) >= V.LANGUAGE_MIN_CHARS
         label = F.when(long_enough & (detector(cleaned) == source), F.lit(source)).otherwise(label)
     return (
-        df.withColumn("_cleaned", clean_for_language(F.col(text)))
+        df.withColumn("_cleaned", clean_for_language(F.col(text), prefix_chars))
         .withColumn("language", label)
         .drop("_cleaned")
     )
@@ -157,7 +159,7 @@ def est_tokens(text: Column) -> Column:
 
 def tokens_of_chars(chars: Column) -> Column:
     """Characters by four, rounded down."""
-    return F.shiftright(chars, V.CHARS_PER_TOKEN.bit_length() - 1)
+    return F.floor(chars / V.CHARS_PER_TOKEN).cast("int")
 
 
 def chunk_prefix(source_file: Column, date: Column, section: Column) -> Column:
@@ -198,9 +200,11 @@ def with_preview(
 
 
 def on_or_after(date: Column, after: str | Column) -> Column:
-    """Text comparison; rows without a date never pass."""
-    bound = after if isinstance(after, Column) else F.lit(after)
-    return F.coalesce(date, F.lit("")) >= bound
+    """Text comparison; rows without a date pass an empty bound only. A bound that is given as
+    text reaches the scan."""
+    if isinstance(after, Column) or not after:
+        return F.coalesce(date, F.lit("")) >= after
+    return date >= F.lit(after)
 
 
 def path_contains(source_file: Column, part: str | Column) -> Column:

@@ -24,7 +24,6 @@ PARAGRAPH_BREAK = r"\n\n+"
 INTRODUCTION = "Introduction"
 
 # --- fixed values: language labelling -----------------------------------------
-LANGUAGE_PREFIX_CHARS = 5000
 LANGUAGE_MIN_CHARS = 30
 LANGUAGE_THRESHOLD = 5
 CLEANING_STEPS = [
@@ -55,7 +54,7 @@ EXCLUDE_DIRS = [
     ".mypy_cache", ".ruff_cache", ".pytest_cache", "knowledge", ".mempalace",
     "mlruns", "data",
 ]
-EXCLUDE_FILES = ["knowledgebase.yaml", "manifest.json"]
+EXCLUDE_FILES = ["manifest.json"]
 ALLOW_PREFIXES = ["knowledge/diary"]
 
 # --- fixed values: sizes ------------------------------------------------------
@@ -65,8 +64,6 @@ CHARS_PER_TOKEN = 4
 STORED_PREVIEW = 300
 SHOWN_PREVIEW = 200
 TOP_K = 10
-LIST_LIMIT = 50
 WEAK_SCORE = 0.3
 MTIME_TOLERANCE = 0.001
 BATCH_DOCUMENTS = 20
-MAX_BATCHES = 15

@@ -14,18 +14,13 @@ from pyspark.sql.types import IntegerType
 from ..functions import values as V
 from .search import Questions, matrix, nearest, unit_rows
 
-TRAINING_ROWS = 2_000_000
-
+PRODUCT_CELLS = 8 << 20
 
 def train_centroids(
     chunks: DataFrame, n_lists: int, vector: str = "embedding", seed: int = 7, max_iter: int = 10
 ) -> np.ndarray:
-    """Unit centroids (n_lists x dim). Beyond a bound they are trained on a share of the
-    rows; that moves the borders of the lists and leaves every row in one of them."""
+    """Unit centroids (n_lists x dim), trained on all rows that have a vector."""
     rows = chunks.select(vector).filter(F.col(vector).isNotNull())
-    count = rows.count()
-    if count > TRAINING_ROWS:
-        rows = rows.sample(fraction=TRAINING_ROWS / count, seed=seed)
     features = rows.select(array_to_vector(F.col(vector)).alias("features"))
     model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, distanceMeasure="cosine").fit(features)
     return unit_rows(np.array(model.clusterCenters()))
@@ -38,7 +33,10 @@ def build_ivf(chunks: DataFrame, centroids: np.ndarray, vector: str = "embedding
     def nearest_list(vectors: pa.Array) -> pa.Array:
         if len(vectors) == 0:
             return pa.array([], pa.int32())
-        return pa.array(np.argmax(unit_rows(matrix(vectors)) @ centroids.T, axis=1).astype(np.int32))
+        unit = unit_rows(matrix(vectors))
+        rows = max(1, PRODUCT_CELLS // len(centroids))  # so many at a time
+        best = [np.argmax(unit[i : i + rows] @ centroids.T, axis=1) for i in range(0, len(unit), rows)]
+        return pa.array(np.concatenate(best).astype(np.int32))
 
     return chunks.filter(F.col(vector).isNotNull()).withColumn("list_id", nearest_list(F.col(vector)))
 

@@ -204,6 +204,7 @@ def nearest(
         limit = "k" if "top_k" in asked else top_k
         return rank_hits(scored, limit, score="cosine", ties=ties).drop("k")
 
+    questions = materialize(questions)  # a lazy model would run again for each step
     hits = each_pass(question_passes(questions, F.size("embedding"), 8), run)
     return hits.withColumn("score", S.similarity_score(F.col("cosine")))
 

@@ -80,7 +80,7 @@ def next_batch(manifest: DataFrame, n: int = V.BATCH_DOCUMENTS, status: str = "p
 
 
 def list_sources(
-    manifest: DataFrame, path: str | None = None, status: str | None = None, limit: int | None = V.LIST_LIMIT
+    manifest: DataFrame, path: str | None = None, status: str | None = None, limit: int | None = None
 ) -> DataFrame:
     """Files by path, with defaults for missing fields."""
     rows = manifest

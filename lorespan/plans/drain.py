@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..operators.status import next_batch
+from ..session import materialize
 from ..sources.store import IndexStore
 
 
@@ -17,18 +18,21 @@ def drain_translations(
     corpus: DataFrame,
     translate: Callable[[DataFrame], DataFrame],
     batch: int = V.BATCH_DOCUMENTS,
-    max_batches: int = V.MAX_BATCHES,
+    max_batches: int | None = None,
 ) -> int:
-    """Hand out batches of documents that wait for a translation until none is left or the
-    cap is reached. ``translate`` takes (relpath, text) and gives (relpath, text), for
-    example by ``mapInPandas``. Returns the number of batches.
+    """Hand out batches of documents that wait for a translation until each had its turn, or
+    ``max_batches`` of them. ``translate`` takes (relpath, text) and gives (relpath, text), for
+    example by ``mapInPandas``. Returns the number of batches. A document that gets no
+    translation, or whose text is gone, still waits afterwards; it is not handed out twice.
 
     A batch is a bounded number of rows; the loop holds none of them on the driver.
     """
-    done = 0
-    while done < max_batches:
-        waiting = next_batch(store.manifest(), batch).select("relpath")
-        if waiting.isEmpty():
+    done, last = 0, ""
+    while max_batches is None or done < max_batches:
+        ahead = store.manifest().filter(F.col("relpath") > last)
+        waiting = materialize(next_batch(ahead, batch).select("relpath"))
+        last = waiting.agg(F.max("relpath")).first()[0]
+        if last is None:
             break
         texts = corpus.select("relpath", "text").join(F.broadcast(waiting), "relpath", "left_semi")
         folder = f"{store.path}/translated/batch={store.current()[0] + 1}"

@@ -197,7 +197,7 @@ def scanned(spark, sf_dir) -> DataFrame:
     return IX.scan(D.corpus(spark, sf_dir), D.manifest(spark, sf_dir), options(translation_enabled=True))
 
 
-_CLEAN = "substring(text, 1, 5000)"
+_CLEAN = "text"
 for _pattern, _replacement in V.CLEANING_STEPS:
     _CLEAN = f"regexp_replace({_CLEAN}, '{_pattern}', '{_replacement}', 'g')"
 CLEAN_SQL = f"cleaned as (select *, {D.sql_strip(_CLEAN)} as cleaned from corpus)"
@@ -332,10 +332,20 @@ def p14(spark, sf_dir):
     return SE.filter_chunks(rows, AFTER, PART).withColumnRenamed("source_file", "relpath")
 
 
-@query("p15_similarity_score", """select vec_id, round((1 + embedding[1]::double) / 2, 4) as score from embeddings""")
+@query("p15_similarity_score", """with v as (select vec_id, embedding::double[] as e from embeddings),
+    o as (select e from v order by vec_id limit 1)
+    select vec_id, round((1 + round(list_dot_product(v.e, o.e) / sqrt(list_dot_product(v.e, v.e))
+      / sqrt(list_dot_product(o.e, o.e)), 9)) / 2, 4) as score from v, o""")
 def p15(spark, sf_dir):
-    first = F.col("embedding")[0].cast("double")
-    return D.table(spark, sf_dir, "embeddings").select("vec_id", S.similarity_score(first).alias("score"))
+    """Each vector's cosine with the first one."""
+    rows = D.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    one = rows.orderBy("vec_id").limit(1).select(F.col("e").alias("o"))
+
+    def dot(x, y):
+        return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda total, p: total + p)
+
+    cosine = dot("e", "o") / F.sqrt(dot("e", "e")) / F.sqrt(dot("o", "o"))
+    return rows.withColumn("o", one.scalar()).select("vec_id", S.similarity_score(F.round(cosine, 9)).alias("score"))
 
 
 HITS = f"with {D.VECTORS}, {D.sql_hits('vectors', 'id', 'embedding', 'asked')}"
@@ -359,7 +369,7 @@ LISTED = """select relpath as path, coalesce(status, 'unknown') as status, coale
     where contains(relpath, 'docs/') and status = 'indexed' order by relpath"""
 
 
-@query("p18_list_sources", f"with {D.MANIFEST} {LISTED} limit 50")
+@query("p18_list_sources", f"with {D.MANIFEST} {LISTED}")
 def p18(spark, sf_dir):
     return status.list_sources(D.manifest(spark, sf_dir), "docs/", "indexed")
 

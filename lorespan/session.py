@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import posixpath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,17 +29,13 @@ def local_session(cpus: int | str = 8, app: str = "lorespan", memory: str = "12g
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; make one only for a local session without it."""
+    """Use the folder the cluster names, else one in the warehouse."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        context.setCheckpointDir(named)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lorespan-checkpoint-"))
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    context.setCheckpointDir(named or posixpath.join(warehouse, "lorespan-checkpoint"))
 
 
 def materialize(df: DataFrame) -> DataFrame:

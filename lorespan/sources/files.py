@@ -84,6 +84,11 @@ def qualified(spark: SparkSession, root: str) -> str:
     return fs.makeQualified(path).toString()
 
 
+def exists(spark: SparkSession, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def _name_filter(patterns: list[str]) -> str | None:
     """A file-name glob for the listing, where the patterns are plain enough for one."""
     names = {p.split("/")[-1] for p in patterns}

@@ -1,7 +1,8 @@
 """Document versions that arrive as files of rows, folded into an index batch by batch.
 
 The manifest is the state: each micro-batch is reduced to the last version per path and
-compared with it, so a batch that is delivered again changes nothing.
+compared with it, so a batch that is delivered again changes nothing. A version without a
+time is compared by its content.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import values as V
 from ..operators.changes import pending_changes
 from ..session import broadcast_if_small, materialize
+from ..sources.files import exists
 from ..sources.store import IndexStore
 from ..sources.tables import latest_versions
 
@@ -40,7 +42,7 @@ def newer_versions(batch: DataFrame, store: IndexStore) -> DataFrame:
     )
     return (
         last.join(known, F.col("relpath") == F.col("_known"), "left")
-        .filter(F.col("original_mtime").isNull() | (F.col("mtime") >= F.col("original_mtime")))
+        .filter(F.col("original_mtime").isNull() | F.col("mtime").isNull() | (F.col("mtime") >= F.col("original_mtime")))
         .select(*batch.columns)
     )
 
@@ -67,13 +69,17 @@ def stream_update(
 
 
 def stream_changes(stream: DataFrame, store: IndexStore, out: str, checkpoint: str) -> StreamingQuery:
-    """Record the changes of every batch in ``out`` (one folder per batch, written anew
-    when a batch is repeated) and scan them into the manifest, without indexing."""
+    """Record the changes of every batch in ``out`` (one folder per stream and batch) and scan
+    them into the manifest, without indexing. A record that is complete is never written again:
+    when its batch is repeated, the store may hold the changes already and show none."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         versions = _reduced(batch, store)
-        found = pending_changes(store.scan(versions, full_listing=False))
-        found.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        stream_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        folder = f"{out}/stream={stream_id}/batch={batch_id}"
+        if not exists(batch.sparkSession, f"{folder}/_SUCCESS"):
+            found = pending_changes(store.scan(versions, full_listing=False))
+            found.write.mode("overwrite").parquet(folder)
         store.update(versions, full_listing=False, index=False)
 
     return (

@@ -364,3 +364,11 @@ def test_index_results_of_odd_texts(spark):
         "lost.md": ("error", None, "file_not_found"), "ok.md": ("indexed", 1, None),
     }
     assert done.summary.first().asDict() == dict(indexed=1, skipped=0, errors=3, deleted=1)
+
+
+def test_date_filter_reaches_the_scan(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "2024-01-01"), ("b", None), ("c", "2023-01-01")], "id string, date string")
+    rows.write.parquet(str(tmp_path / "t"))
+    kept = SE.filter_after(spark.read.parquet(str(tmp_path / "t")), "2024-01-01")
+    assert "GreaterThanOrEqual(date,2024-01-01)" in kept._jdf.queryExecution().executedPlan().toString()
+    assert [r.id for r in kept.collect()] == ["a"]

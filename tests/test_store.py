@@ -158,3 +158,21 @@ def test_chunks_of_one_file_reads_one_bucket(spark, tmp_path):
     assert table.count() == 200 and one.count() == 67
     assert "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().executedPlan().toString()
     assert open_chunks(spark, str(tmp_path / "absent")).count() == 0
+
+
+def test_recorded_changes_survive_another_delivery(spark, tmp_path):
+    landing, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = corpus(spark, a="one", b="two").select("relpath", "text", "mtime", "size", "content_hash")
+    rows.coalesce(1).write.parquet(landing)
+    store = IndexStore(spark, str(tmp_path / "s"))
+    for progress in ("p1", "p2"):  # the second stream starts anew and delivers everything again
+        ingest.stream_changes(ingest.read_landing(spark, landing), store, out, str(tmp_path / progress)).awaitTermination()
+        assert spark.read.parquet(out).count() == 2
+    assert {r.stream for r in spark.read.parquet(out).collect()} - {"None", None}
+
+
+def test_versions_without_a_time_are_compared_by_content(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "s"))
+    store.update(corpus(spark, a="one"))
+    again = corpus(spark, a="other").withColumn("mtime", F.lit(None).cast("timestamp"))
+    assert ingest.newer_versions(again, store).count() == 1
