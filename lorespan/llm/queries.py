@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, decontam, layout, licenses, lm, neardup, packing, quality, secrets, tokenfiles
+from . import (
+    archives,
+    decontam,
+    layout,
+    licenses,
+    lm,
+    neardup,
+    packing,
+    quality,
+    ranked,
+    secrets,
+    spelling,
+    tokenfiles,
+    vectors,
+)
 
 
 def tokenizer_path(name: str) -> str:
@@ -225,3 +239,58 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.extract(_table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
+SQL_VECTORS = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) q from embeddings
+  where vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+s as (
+  select a.vec_id query_id, b.vec_id, list_inner_product(a.q, b.q)::bigint score
+  from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id and len(a.q) = len(b.q)),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+
+@query(SQL_VECTORS)
+def op11_exact_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    hits = vectors.search(rows, rows.where("vec_id % 50 = 0"), k=5)
+    return hits.withColumnRenamed("id", "vec_id")
+
+
+SQL_RANKED = r"""
+with d as (
+  select doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') w from documents),
+i as (
+  select distinct item_id, unnest(list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) term from benchmark where item_id is not null),
+c as (select count(*) filter (where len(w) > 0) n_docs, sum(len(w))::bigint n_terms from d),
+p as (
+  select doc_id, term, count(*) tf from (select doc_id, unnest(w) term from d)
+  where term in (select term from i) group by all),
+f as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::bigint weight from p, c group by term, n_docs),
+m as (select doc_id, 50 + (50 * len(w) * n_docs) // n_terms m from d, c where len(w) > 0),
+s as (
+  select item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint score
+  from i join p using (term) join f using (term) join m using (doc_id) group by item_id, doc_id),
+r as (
+  select *, row_number() over (partition by item_id order by score desc, doc_id)::int rank from s where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 50
+"""
+
+
+@query(SQL_RANKED)
+def op12_ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked.search(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+@query()
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
