@@ -6,8 +6,8 @@ one ends. It comes from one aggregation: among the words below (prefix, letter)
 largest have exactly the common letters. Each edge also carries bit sets of the two letters after
 its first.
 
-The frontier holds states (word, position, node, edits). It starts with zero edits along each
-word's own path. Where another edge leaves the path, one letter is replaced or put in; from there
+The frontier holds states (word, position as the letters left, node, edits). It starts with zero
+edits along each word's own path. Where another edge leaves the path, one letter is replaced or put in; from there
 the word must follow an edge letter by letter, one join with the edge table a level, until its
 letters are used up at the end of a word. An edit is where two words first differ, so no pair
 comes up twice in a walk, and a left-out letter is an inserted one seen from the other word.
@@ -32,17 +32,22 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, written
 
-LETTERS = r"[A-Za-zÀ-ÿ]+"
+LETTERS = "[A-Za-zÀ-ÿ]"
 LONGEST = 64
 
 
-def letter(text: Column, at: Column) -> Column:
+def letter(text: Column, at: int | Column = 0) -> Column:
     """The letter at a position from 0, or an empty text."""
-    return F.substring(text, at + 1, F.lit(1))
+    return F.substring(text, (F.lit(at) if isinstance(at, int) else at) + 1, F.lit(1))
 
 
-def after(text: Column, at: Column) -> Column:
-    return F.substring(text, at + 1, F.char_length(text))
+def after(text: Column, at: int | Column) -> Column:
+    return F.substring(text, (F.lit(at) if isinstance(at, int) else at) + 1, F.char_length(text))
+
+
+def _lower(run: Column) -> Column:
+    """A-Z lower-cased; for a run of ASCII letters that is what `lower` does."""
+    return F.when(F.octet_length(run) == F.char_length(run), F.lower(run)).otherwise(ascii_lower(run))
 
 
 def vocabulary(
@@ -50,10 +55,9 @@ def vocabulary(
 ) -> DataFrame:
     """word, n. A run whose checksum (with its document's id) ``slip`` divides loses the letter the
     checksum names; words have at least ``shortest`` letters and ``least`` occurrences."""
-    runs = F.regexp_extract_all(docs[text].cast("string"), F.lit(LETTERS), F.lit(0))
-    long_runs = F.filter(runs, lambda r: F.char_length(r) >= shortest)
+    long_runs = F.regexp_extract_all(docs[text].cast("string"), F.lit(f"{LETTERS}{{{shortest},}}"), F.lit(0))
     rows = docs.select(F.coalesce(docs[id_col].cast("string"), F.lit("")).alias("id"), F.explode(long_runs).alias("run"))
-    rows = rows.withColumn("run", ascii_lower(F.col("run")))
+    rows = rows.withColumn("run", _lower(F.col("run")))
     rows = rows.withColumn("sum", F.crc32(F.concat("id", F.lit(":"), "run").cast("binary")))
     place = (F.col("sum") % F.char_length("run")).cast("int")
     slipped = F.concat(F.substring("run", F.lit(1), place), after(F.col("run"), place + 1))
@@ -62,29 +66,30 @@ def vocabulary(
     return counts.where(F.col("n") >= least)
 
 
-def _bit(x: Column) -> Column:
-    """One of 64 bits for a letter; none for an empty text."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.ascii(x).bitwiseAND(63))
-    return F.when(x != "", bit).otherwise(F.lit(0).cast("bigint"))
+NO_LETTER = -(1 << 63)
 
 
-def _may(bits: Column, x: Column) -> Column:
-    return (x == "") | (bits.bitwiseAND(_bit(x)) != 0)
+def _bit(x: Column) -> Column:
+    """One of 64 bits for a letter; the highest for an empty text."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.ascii(x).bitwiseAND(63))
+    return F.when(x != "", bit).otherwise(F.lit(NO_LETTER))
 
 
 def edges(words: DataFrame) -> DataFrame:
-    """way, node, letter, child, ends (a word ends at the child), next1, next2 (letters after the
-    first) for all nodes from the middle of a word on. ``words`` has way and word."""
+    """way, node, letter, child, ends (a word ends at the child), tail (letters of the edge after
+    its first), next1, next2 (sets of the letters that follow the first) for all nodes from the
+    middle of a word on. ``words`` has way and word."""
     size = F.char_length("word")
     begin = F.floor((size - 1) / 2).cast("int")  # a word with one letter less starts there
     steps = words.select("way", "word", F.explode(F.sequence(begin, size - 1)).alias("at"))
+    steps = steps.select("way", "word", "at", after(F.col("word"), F.col("at")).alias("rest"))
     keyed = steps.select(
         "way",
         F.substring("word", F.lit(1), F.col("at")).alias("node"),
-        letter(F.col("word"), F.col("at")).alias("letter"),
+        letter(F.col("rest")).alias("letter"),
         "word",
-        _bit(letter(F.col("word"), F.col("at") + 1)).alias("b1"),
-        _bit(letter(F.col("word"), F.col("at") + 2)).alias("b2"),
+        _bit(letter(F.col("rest"), 1)).alias("b1"),
+        _bit(letter(F.col("rest"), 2)).alias("b2"),
     )
     below = keyed.groupBy("way", "node", "letter").agg(
         F.min("word").alias("low"), F.max("word").alias("high"), F.bit_or("b1").alias("next1"), F.bit_or("b2").alias("next2")
@@ -95,51 +100,63 @@ def edges(words: DataFrame) -> DataFrame:
         lambda i: letter(low, i) != letter(high, i),
     )
     child = F.when(low == high, low).otherwise(F.substring(low, F.lit(1), F.array_min(parts)))
-    return below.select("way", "node", "letter", child.alias("child"), "next1", "next2", (child == low).alias("ends"))
+    found = below.select("way", "node", "letter", child.alias("child"), "low", "next1", "next2")
+    return found.select(
+        "way", "node", "letter", "child", (F.col("child") == F.col("low")).alias("ends"),
+        after(F.col("child"), F.char_length("node") + 1).alias("tail"), "next1", "next2",
+    )
+
+
+def _goes_on(rest: Column, tail: Column, ends: Column) -> Column:
+    """The letters left begin with an edge's, and end with it only where a word does."""
+    return rest.startswith(tail) & (ends | (F.octet_length(rest) > F.octet_length(tail)))
 
 
 def _departures(words: DataFrame, trie: DataFrame) -> DataFrame:
-    """way, word, at, node, ends: states with one edit, right after it."""
+    """way, word, rest, longer, node, ends: states with one edit, at the end of its edge. ``longer``
+    marks a letter that was put in."""
     size = F.char_length("word")
     path = words.select("way", "word", F.explode(F.sequence(F.floor(size / 2).cast("int"), size)).alias("at"))
-    path = path.withColumn("node", F.substring("word", F.lit(1), F.col("at")))
-    word, at, child = F.col("word"), F.col("at"), F.col("child")
-    met = path.join(trie, ["way", "node"]).where(F.col("letter") != letter(word, at))
-    shared = F.char_length(child) - at - 1  # letters of the edge after its first
-    met = met.withColumn("shared", shared)
-    n = F.col("shared")
-
-    def fits(rest: Column) -> Column:
-        """The word goes on from ``rest`` as the edge does after the changed letter, as far as can be told."""
-        same = F.substring(word, rest + 1, n) == after(child, at + 1)
-        seen = _may(F.col("next1"), letter(word, rest)) & _may(F.col("next2"), letter(word, rest + 1))
-        over = (rest + n < F.char_length(word)) | ((rest + n == F.char_length(word)) & F.col("ends"))
-        return same & seen & over
-
-    replaced = F.when((at < F.char_length(word)) & fits(at + 1), F.struct((at + 1 + n).alias("at"), F.lit(False).alias("longer")))
-    inserted = F.when(fits(at), F.struct((at + n).alias("at"), F.lit(True).alias("longer")))
-    both = met.withColumn("next", F.explode(F.array(replaced, inserted))).where("next is not null")
-    return both.select("way", "word", F.col("next.at").alias("at"), F.col("next.longer").alias("longer"), child.alias("node"), "ends")
+    path = path.select(
+        "way", "word", F.substring("word", F.lit(1), F.col("at")).alias("node"), after(F.col("word"), F.col("at")).alias("rest")
+    )
+    path = path.select(
+        "way", "word", "node", "rest", letter(F.col("rest")).alias("own"), after(F.col("rest"), 1).alias("rest1")
+    )
+    path = path.select(
+        "*", _bit(F.col("own")).alias("b0"), _bit(letter(F.col("rest1"))).alias("b1"), _bit(letter(F.col("rest1"), 1)).alias("b2")
+    )
+    met = path.join(trie, ["way", "node"]).where(F.col("letter") != F.col("own"))
+
+    def may(first: str, second: str) -> Column:
+        """The sets of letters after the edge's first hold the next two letters of the word."""
+        seen = lambda bits, bit: F.col(bits).bitwiseOR(F.lit(NO_LETTER)).bitwiseAND(F.col(bit)) != 0
+        return seen("next1", first) & seen("next2", second)
+
+    tail, ends = F.col("tail"), F.col("ends")
+    replaced = (F.col("own") != "") & may("b1", "b2") & _goes_on(F.col("rest1"), tail, ends)
+    inserted = may("b0", "b1") & _goes_on(F.col("rest"), tail, ends)
+    met = met.select("way", "word", "rest", "rest1", "child", "ends", "tail", replaced.alias("replaced"), inserted.alias("inserted"))
+    met = met.where("replaced or inserted")
+    kinds = F.array(F.when(F.col("replaced"), F.lit(False)), F.when(F.col("inserted"), F.lit(True)))
+    met = met.withColumn("longer", F.explode(F.array_compact(kinds)))
+    rest = F.when(F.col("longer"), F.col("rest")).otherwise(F.col("rest1"))
+    return met.select("way", "word", after(rest, F.char_length(tail)).alias("rest"), "longer", F.col("child").alias("node"), "ends")
 
 
 def _walk(words: DataFrame, trie: DataFrame) -> DataFrame:
     """way, word, near, longer (near has a letter more)."""
     found = None
     states = written(_departures(words, trie), "frontier")
-    used_up = F.col("at") == F.char_length("word")
     while True:
-        done = states.where(used_up & F.col("ends")).select("way", "word", F.col("node").alias("near"), "longer")
+        done = states.where("rest = ''").select("way", "word", F.col("node").alias("near"), "longer")
         found = done if found is None else found.unionByName(done)
-        going = states.where(~used_up).withColumn("letter", letter(F.col("word"), F.col("at")))
-        ahead = trie.select("way", "node", "letter", "child", F.col("ends").alias("child_ends"))
-        label = F.char_length("child") - F.char_length("node")
-        met = going.join(ahead, ["way", "node", "letter"]).withColumn("label", label)
-        met = met.where(F.substring(F.col("word"), F.col("at") + 1, F.col("label")) == after(F.col("child"), F.char_length("node")))
-        met = met.withColumn("at", F.col("at") + F.col("label"))
-        met = met.where(~used_up | F.col("child_ends"))
-        states = written(
-            met.select("way", "word", "at", "longer", F.col("child").alias("node"), F.col("child_ends").alias("ends")), "frontier"
-        )
+        going = states.where("rest <> ''").drop("ends").withColumn("letter", letter(F.col("rest")))
+        going = going.withColumn("rest", after(F.col("rest"), 1))
+        met = going.join(trie.drop("next1", "next2"), ["way", "node", "letter"])
+        met = met.where(_goes_on(F.col("rest"), F.col("tail"), F.col("ends")))
+        rest = after(F.col("rest"), F.char_length("tail"))
+        states = written(met.select("way", "word", rest.alias("rest"), "longer", F.col("child").alias("node"), "ends"), "frontier")
         if states.isEmpty():
             return found
 
