@@ -1,4 +1,8 @@
-"""Change detection, and the set operations on keyed tables."""
+"""Change detection, and the set operations on keyed tables.
+
+A scan looks at times before it looks at texts: a narrow listing is joined with the manifest, and
+only documents that are new or have another time are read, hashed and labelled.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import values as V
 from ..schemas import MANIFEST_COLUMNS
-from ..session import broadcast_if_small
+from ..session import BROADCAST_BYTES, broadcast_if_small, materialize, materialize_measured
+
+#: Bits of the filter that stands before a shuffled fetch: 2 MB of them, whatever it holds.
+FILTER_BITS = 1 << 24
 
 CHANGE_COLUMNS = ["relpath", "action", "language", "date", "status", "hash", "mtime", "size"]
 
@@ -48,16 +55,27 @@ def classify(
     ``touched`` marks unchanged content under a new mtime, ``was`` is the manifest row.
     With ``full_listing`` off the listing is a delta: paths it lacks are not deleted.
     """
+    return _with_actions(
+        beside_manifest(labelled, manifest, full_listing), mtime_tolerance, source, translation_enabled
+    )
+
+
+def beside_manifest(listing: DataFrame, manifest: DataFrame, full_listing: bool) -> DataFrame:
+    """Rows of a listing with their manifest row (``_known``, ``was``), and, for a full listing,
+    manifest rows without one."""
     known = manifest.select(
         F.col("relpath").alias("_known"), F.struct(*MANIFEST_COLUMNS).alias("was")
     )
     if full_listing:
-        joined = labelled.join(known, F.col("relpath") == F.col("_known"), "full_outer")
-    else:
-        keys = broadcast_if_small(labelled.select(F.col("relpath").alias("_key")))
-        hit = known.join(keys, F.col("_known") == F.col("_key"), "left_semi")
-        joined = labelled.join(hit, F.col("relpath") == F.col("_known"), "left")
+        return listing.join(known, F.col("relpath") == F.col("_known"), "full_outer")
+    keys = listing.select(F.col("relpath").alias("_key"))
+    hit = known.join(keys, F.col("_known") == F.col("_key"), "left_semi")
+    return listing.join(hit, F.col("relpath") == F.col("_known"), "left")
+
 
+def _with_actions(
+    joined: DataFrame, mtime_tolerance: float, source: str, translation_enabled: bool
+) -> DataFrame:
     present, recorded = F.col("relpath").isNotNull(), F.col("_known").isNotNull()
     same_mtime = _same_mtime(F.col("mtime"), F.col("was.original_mtime"), mtime_tolerance)
     same_hash = F.coalesce(F.col("hash") == F.col("was.original_hash"), F.lit(False))
@@ -82,6 +100,104 @@ def classify(
     )
 
 
+def listing_of(corpus) -> DataFrame:
+    """Path and time of a corpus: a table, or anything with a ``listing`` (a file tree). No text
+    is read for it."""
+    listing = corpus if isinstance(corpus, DataFrame) else corpus.listing
+    return listing.select("relpath", "mtime")
+
+
+def rows_of(corpus, keys: DataFrame, size: int | None = None) -> DataFrame:
+    """The rows of a corpus whose paths are in ``keys`` (of ``size`` bytes, if that is known)."""
+    if not isinstance(corpus, DataFrame):
+        return corpus.rows_of(keys)
+    return only_listed(corpus, keys, size=size)
+
+
+def only_listed(
+    rows: DataFrame, keys: DataFrame, key: str = "relpath", size: int | None = None, limit: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Rows whose key is listed. A short list is sent to the rows. A long one is joined by a
+    shuffle, and a filter of FILTER_BITS hashed keys is sent ahead, so that few other rows move."""
+    listed = keys.select(F.col(key).alias("_listed"))
+    small = broadcast_if_small(listed, limit) if size is None else F.broadcast(listed) if size <= limit else listed
+    on = F.col(key) == F.col("_listed")
+    if small is not listed:
+        return rows.join(small, on, "left_semi")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), (place(c) % 64).cast("int"))
+    bits = listed.groupBy(F.floor(place("_listed") / 64).alias("_word")).agg(F.bit_or(bit("_listed")).alias("_bits"))
+    may = F.col("_bits").bitwiseAND(bit(key)) != 0
+    ahead = rows.join(F.broadcast(bits), (F.floor(place(key) / 64) == F.col("_word")) & may, "left_semi")
+    return ahead.join(listed, on, "left_semi")
+
+
+def _hashed_first(corpus, candidates: DataFrame, was: DataFrame, source: str, labels: dict) -> DataFrame:
+    """Narrow rows of the candidates in a file tree. Only files whose hash is another are read as
+    text; the others keep what the manifest knows of them."""
+    hashed = materialize(corpus.hashes_of(candidates), "hashes")
+    beside = hashed.join(was, F.col("relpath") == F.col("_path"), "left")
+    same = F.coalesce(F.col("content_hash") == F.col("was.original_hash"), F.lit(False))
+    kept = beside.filter(same).select(
+        "relpath", F.col("content_hash").alias("hash"), "mtime", "size",
+        F.col("was.language").alias("language"), F.col("was.date").alias("date"),
+    )
+    other = materialize(beside.filter(~same).select("relpath"), "changed-files")
+    return label_corpus(corpus.rows_of(other), source=source, **labels).unionByName(kept)
+
+
+def unclear(mtime_tolerance: float = V.MTIME_TOLERANCE) -> Column:
+    """Listed beside the manifest, but new or with another time: the content has to be looked at."""
+    same = _same_mtime(F.col("mtime"), F.col("was.original_mtime"), mtime_tolerance)
+    return F.col("relpath").isNotNull() & ~same
+
+
+def look_at(
+    corpus, candidates: DataFrame, size: int, mtime_tolerance: float, source: str, translation_enabled: bool, **labels
+) -> DataFrame:
+    """The action of each candidate (relpath, was; of ``size`` bytes) from its hash; no other row
+    of the corpus is read."""
+    was = candidates.select(F.col("relpath").alias("_path"), F.col("was.relpath").alias("_known"), "was")
+    was = F.broadcast(was) if size <= BROADCAST_BYTES else was
+    if isinstance(corpus, DataFrame):
+        read = label_corpus(rows_of(corpus, candidates, size), source=source, **labels)
+    else:
+        read = _hashed_first(corpus, candidates, was, source, labels)
+    beside = read.join(was, F.col("relpath") == F.col("_path")).drop("_path")
+    return _with_actions(beside.filter(unclear(mtime_tolerance)), mtime_tolerance, source, translation_enabled)
+
+
+def scan_corpus(
+    corpus,
+    manifest: DataFrame,
+    mtime_tolerance: float = V.MTIME_TOLERANCE,
+    source: str = V.SOURCE_LANGUAGE,
+    translation_enabled: bool = True,
+    full_listing: bool = True,
+    **labels,
+) -> DataFrame:
+    """``classify`` for a corpus whose texts are read only where the time says nothing. Unchanged
+    paths show the hash, language, date and size that the manifest has."""
+    beside = beside_manifest(listing_of(corpus), manifest, full_listing)
+    look = unclear(mtime_tolerance)
+    candidates, _, size = materialize_measured(
+        beside.filter(look).select("relpath", "was").dropDuplicates(["relpath"]), "candidates"
+    )
+    looked = look_at(corpus, candidates, size, mtime_tolerance, source, translation_enabled, **labels)
+    present = F.col("relpath").isNotNull()
+    sure = beside.filter(~look).select(
+        F.coalesce("relpath", "_known").alias("relpath"),
+        *[F.when(present, F.col(f"was.{of}")).alias(c) for c, of in (
+            ("hash", "original_hash"), ("size", "size"), ("language", "language"), ("date", "date"))],
+        "mtime",
+        "was",
+        F.when(present, "unchanged").otherwise("deleted").alias("action"),
+        F.lit(False).alias("touched"),
+        F.lit(None).cast("string").alias("status"),
+    )
+    return looked.unionByName(sure)
+
+
 def pending_changes(classified: DataFrame) -> DataFrame:
     return classified.filter(F.col("action").isin("new", "changed")).select(*CHANGE_COLUMNS)
 
@@ -94,14 +210,9 @@ def change_set(pending: DataFrame, deleted: DataFrame) -> DataFrame:
     return pending.unionByName(deleted, allowMissingColumns=True)
 
 
-def detect_changes(corpus: DataFrame, manifest: DataFrame, **options) -> DataFrame:
+def detect_changes(corpus, manifest: DataFrame, **options) -> DataFrame:
     """Pending and deleted paths of a corpus against a manifest."""
-    label_options = {
-        k: options.pop(k) for k in ("markers", "target", "threshold", "detector") if k in options
-    }
-    source = options.get("source", V.SOURCE_LANGUAGE)
-    classified = classify(label_corpus(corpus, source=source, **label_options), manifest, **options)
-    changed = classified.filter(F.col("action") != "unchanged")
+    changed = scan_corpus(corpus, manifest, **options).filter(F.col("action") != "unchanged")
     gone = F.col("action") == "deleted"
     return changed.select(
         "relpath",

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import hashlib
-import re
-from collections import Counter
 from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_NOT_WORD = r"[^\pL\pN]+"
+
+
 class Embedder(Protocol):
     """A model: ``make_predict_fn()`` runs once per Python worker and gives a function from
     an array of texts to a (texts x dim) array of floats."""
@@ -38,31 +41,36 @@ class ModelEmbedder:
 
 
 class HashEmbedder:
-    """Signed feature hashing of words to unit vectors: needs no model, always the same."""
+    """Signed feature hashing of words to unit vectors: needs no model, always the same. A batch
+    is one scatter: its words are numbered together, each distinct word is hashed once, and signs
+    are added up by (text, place)."""
 
     def __init__(self, dim: int = 64):
         self.dim = dim
 
     def make_predict_fn(self):
-        dim, slots = self.dim, {}
-        find_words = re.compile(r"[^\W_]+").findall
+        dim = self.dim
 
-        def slot(word: str) -> tuple[int, float]:
-            digest = hashlib.md5(word.encode()).hexdigest()
-            return int(digest[:8], 16) % dim, 1.0 if digest[8] < "8" else -1.0
+        def places(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            digests = [hashlib.md5(w).digest()[:5] for w in words.cast(pa.binary()).to_pylist()]
+            head = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 5)
+            number = head[:, :4].astype(np.int64) @ np.array([1 << 24, 1 << 16, 1 << 8, 1])
+            return number % dim, np.where(head[:, 4] < 128, 1.0, -1.0)
 
         def predict(texts: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(texts), dim))
-            for i, text in enumerate(texts):
-                row = [0.0] * dim
-                for word, count in Counter(find_words(str(text).lower())).items():
-                    if word not in slots:
-                        if len(slots) >= 200_000:
-                            slots.clear()
-                        slots[word] = slot(word)
-                    place, sign = slots[word]
-                    row[place] += sign * count
-                out[i] = row
+            lowered = pa.array([str(t).lower() for t in texts], pa.large_string())
+            split = pc.split_pattern_regex(lowered, _NOT_WORD)
+            words = split.flatten()
+            text = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
+            filled = pc.not_equal(words, "")
+            coded = words.filter(filled).dictionary_encode()
+            text = text[filled.to_numpy(zero_copy_only=False)]
+            if not len(text):
+                return np.zeros((len(texts), dim), np.float32)
+            place, sign = places(coded.dictionary)
+            word = coded.indices.to_numpy()
+            cells = np.bincount(text * dim + place[word], sign[word], minlength=len(texts) * dim)
+            out = cells.reshape(len(texts), dim)
             norms = np.linalg.norm(out, axis=1, keepdims=True)
             return (out / np.where(norms == 0, 1, norms)).astype(np.float32)
 

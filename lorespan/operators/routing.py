@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import values as V
-from ..session import broadcast_if_small, fits_broadcast
-from .changes import delete_keys
+from ..session import BROADCAST_BYTES, broadcast_if_small, fits_broadcast
+from .changes import delete_keys, only_listed
 
 _FOUND = "_found"
 
 
-def attach_text(rows: DataFrame, texts: DataFrame) -> DataFrame:
+def attach_text(rows: DataFrame, texts) -> DataFrame:
     """Narrow rows (relpath, …) with ``text``, NULL where there is none, and ``_found``.
 
     When the rows are few they are broadcast and the texts stay where they are read;
-    only when they are many does the text move to them.
+    only when they are many does the text move to them. Of a file tree only their files are read.
     """
+    if not isinstance(texts, DataFrame):
+        found = texts.rows_of(rows).select("relpath", "text", F.lit(True).alias(_FOUND))
+        return rows.join(found, "relpath", "left").withColumn(_FOUND, F.coalesce(_FOUND, F.lit(False)))
     found = texts.select("relpath", "text", F.lit(True).alias(_FOUND))
     if not fits_broadcast(rows):
         return rows.join(found, "relpath", "left").withColumn(_FOUND, F.coalesce(_FOUND, F.lit(False)))
@@ -31,30 +34,18 @@ def attach_text(rows: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def needs_translation(language: Column, enabled: bool, source: str) -> Column:
-    return F.coalesce(language == source, F.lit(False)) if enabled else F.lit(False)
+def found_texts(rows: DataFrame, texts, size: int) -> DataFrame:
+    """Rows (of ``size`` bytes at most) with ``text``, only those that have one."""
+    if not isinstance(texts, DataFrame):
+        return rows.join(texts.rows_of(rows).select("relpath", "text"), "relpath")
+    found = texts.select("relpath", "text")
+    if size <= BROADCAST_BYTES:
+        return found.join(F.broadcast(rows), "relpath").select(*rows.columns, "text")
+    return only_listed(found, rows, size=size).join(rows, "relpath").select(*rows.columns, "text")
 
 
-def route_pending(
-    rows: DataFrame, corpus: DataFrame, translations: DataFrame | None, enabled: bool, source: str
-) -> DataFrame:
-    """Rows with the text to index and ``missing``: NULL, ``file_not_found`` or
-    ``no_translation``. Originals of rows that wait for a translation are not read."""
-    translated = needs_translation(F.col("language"), enabled, source)
-
-    def with_missing(found: DataFrame, reason: str) -> DataFrame:
-        return found.withColumn("missing", F.when(~F.col(_FOUND), F.lit(reason))).drop(_FOUND)
-
-    if not enabled or translations is None:
-        direct = attach_text(rows.filter(~translated), corpus)
-        routed = with_missing(direct, "file_not_found")
-        if enabled:
-            waiting = rows.filter(translated).withColumn("text", F.lit(None).cast("string"))
-            routed = routed.unionByName(waiting.withColumn("missing", F.lit("no_translation")))
-        return routed
-    return with_missing(attach_text(rows.filter(~translated), corpus), "file_not_found").unionByName(
-        with_missing(attach_text(rows.filter(translated), translations), "no_translation")
-    )
+def needs_translation(language: Column, enabled: bool, source: str) -> Column:
+    return F.coalesce(language == source, F.lit(False)) if enabled else F.lit(False)
 
 
 def route_text(

@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators.changes import classify, label_corpus, manifest_rows
+from ..operators.changes import listing_of, manifest_rows, scan_corpus
 from ..operators.chunks import chunk_columns, drop_chunks, sections_of
 from ..operators.embed import Embedder, embed
-from ..operators.routing import classify_indexability, prune_translations, route_pending
+from ..operators.routing import classify_indexability, found_texts, needs_translation, prune_translations
 from ..operators.search import search
 from ..operators.status import run_summary
 from ..schemas import CHUNK_COLUMNS, MANIFEST_COLUMNS
-from ..session import broadcast_if_small, materialize
+from ..session import broadcast_if_small, materialize, materialize_measured
 
 
 @dataclass(frozen=True)
@@ -44,6 +44,7 @@ class IndexResult:
     chunks: DataFrame
     summary: DataFrame
     outcomes: DataFrame
+    translations: DataFrame | None = None
 
 
 def bucket_of(source_file: Column, buckets: int) -> Column:
@@ -59,22 +60,27 @@ def to_index(manifest: DataFrame, options: IndexOptions) -> DataFrame:
 
 def index_rows(
     todo: DataFrame,
-    corpus: DataFrame,
+    corpus,
     translations: DataFrame | None,
     embedder: Embedder | None,
     options: IndexOptions,
+    size: int,
 ) -> DataFrame:
     """The one pass over texts: a row per chunk of each document that can be indexed, and a
-    row without a chunk (``result`` says why) for each other document.
+    row without a chunk (``result`` says why) for each other document that has a text. ``size``
+    bounds the bytes of ``todo``.
 
     Rows are rebalanced before the model runs. Tasks of even size embed even amounts of
     text, also when one file or bucket holds a large share of the chunks.
     """
-    routed = route_pending(todo, corpus, translations, options.translation_enabled, options.source)
+    translated = needs_translation(F.col("language"), options.translation_enabled, options.source)
+    routed = found_texts(todo.filter(~translated), corpus, size)
+    if options.translation_enabled and translations is not None:
+        routed = routed.unionByName(found_texts(todo.filter(translated), translations, size))
     sections = sections_of("body", options.max_tokens, options.min_tokens)
     exploded = (
         classify_indexability(routed)
-        .drop("text", "missing")
+        .drop("text")
         .select(
             "relpath", "language", "date", "original_hash", "result",
             F.posexplode_outer(sections).alias("chunk_index", "_section"),
@@ -90,13 +96,23 @@ def index_rows(
     return embed(rows.hint("rebalance", "bucket"), "text", embedder)
 
 
-def outcomes_of(rows: DataFrame) -> DataFrame:
-    """relpath, result, chunk_count. Counted per task first, whatever one file holds."""
-    return rows.groupBy("relpath", "result").agg(F.count("chunk_index").cast("int").alias("chunk_count"))
+def outcomes_of(rows: DataFrame, todo: DataFrame, options: IndexOptions) -> DataFrame:
+    """relpath, result, chunk_count of everything in ``todo``: what its rows say, and where it has
+    none, which text was not there. Counted per task first, whatever one file holds."""
+    counted = rows.groupBy(F.col("relpath").alias("_path"), "result").agg(
+        F.count("chunk_index").cast("int").alias("chunk_count")
+    )
+    translated = needs_translation(F.col("language"), options.translation_enabled, options.source)
+    absent = F.when(translated, "no_translation").otherwise("file_not_found")
+    return todo.join(counted, F.col("relpath") == F.col("_path"), "left").select(
+        "relpath", F.coalesce("result", absent).alias("result"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count")
+    )
 
 
-def settle(rows: DataFrame, outcomes: DataFrame, indexed_at: Column) -> DataFrame:
-    """Manifest rows after their documents were handled."""
+def settle(
+    rows: DataFrame, outcomes: DataFrame, indexed_at: Column, keep: list[str] | None = None
+) -> DataFrame:
+    """Manifest rows after their documents were handled, with the columns in ``keep``."""
     outcome = outcomes.select(
         F.col("relpath").alias("_done"), "result", F.col("chunk_count").alias("_count")
     )
@@ -111,7 +127,8 @@ def settle(rows: DataFrame, outcomes: DataFrame, indexed_at: Column) -> DataFram
     }
     joined = rows.join(outcome, F.col("relpath") == F.col("_done"), "left")
     return joined.select(
-        *[F.coalesce(new[c], F.col(c)).alias(c) if c in new else F.col(c) for c in MANIFEST_COLUMNS]
+        *[F.coalesce(new[c], F.col(c)).alias(c) if c in new else F.col(c) for c in MANIFEST_COLUMNS],
+        *(keep or []),
     )
 
 
@@ -133,7 +150,7 @@ def index_pending(
     indexed_at: Column | None = None,
     everything: bool = False,
 ) -> IndexResult:
-    """Index what is pending; drop chunks and rows of deleted documents.
+    """Index what is pending; drop chunks, rows and translations of deleted documents.
 
     The new rows are written once to the checkpoint folder; manifest, chunk table and
     counters all come from there, so texts are read and the model runs one time.
@@ -141,14 +158,15 @@ def index_pending(
     stamp = F.current_timestamp() if indexed_at is None else indexed_at
     if everything:
         todo = manifest.select("relpath", "language", "date", "original_hash").join(
-            corpus.select("relpath"), "relpath", "left_semi"
+            listing_of(corpus).select("relpath"), "relpath", "left_semi"
         )
         deleted = manifest.select("relpath").filter(F.lit(False))
     else:
         todo = to_index(manifest, options)
         deleted = manifest.filter(F.col("status") == "deleted").select("relpath")
-    rows = materialize(index_rows(todo, corpus, translations, embedder, options))
-    outcomes = outcomes_of(rows)
+    todo, _, size = materialize_measured(todo, "todo")
+    rows = materialize(index_rows(todo, corpus, translations, embedder, options, size), "chunk-rows")
+    outcomes = outcomes_of(rows, todo, options)
     fresh = rows.filter(F.col("result") == "ok").select(*CHUNK_COLUMNS)
     if everything:
         kept, current = None, manifest
@@ -163,6 +181,7 @@ def index_pending(
         chunks=fresh if kept is None else kept.unionByName(fresh),
         summary=run_summary(handled),
         outcomes=handled,
+        translations=None if translations is None else prune_translations(translations, deleted),
     )
 
 
@@ -197,13 +216,20 @@ def update(
 
 
 def scan(
-    corpus: DataFrame, manifest: DataFrame, options: IndexOptions = IndexOptions(), full_listing: bool = True
+    corpus, manifest: DataFrame, options: IndexOptions = IndexOptions(), full_listing: bool = True
 ) -> DataFrame:
-    labelled = label_corpus(
-        corpus, options.markers, options.source, options.target, options.threshold, options.detector
-    )
-    return classify(
-        labelled, manifest, options.mtime_tolerance, options.source, options.translation_enabled, full_listing
+    """Every path with its action. ``corpus`` is a table or a ``FileCorpus``."""
+    return scan_corpus(
+        corpus,
+        manifest,
+        options.mtime_tolerance,
+        options.source,
+        options.translation_enabled,
+        full_listing,
+        markers=options.markers,
+        target=options.target,
+        threshold=options.threshold,
+        detector=options.detector,
     )
 
 
@@ -221,8 +247,3 @@ def search_fresh(
     if not manifest.filter(F.col("status") == "pending_index").isEmpty():
         chunks = index_pending(manifest, corpus, chunks, translations, embedder, options).chunks
     return search(chunks, questions, **search_options)
-
-
-def surviving_translations(manifest: DataFrame, translations: DataFrame) -> DataFrame:
-    """Translations after the deleted documents of a manifest are cleaned up."""
-    return prune_translations(translations, manifest.filter(F.col("status") == "deleted"))

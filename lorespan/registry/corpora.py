@@ -6,15 +6,14 @@ Whole tables are used throughout. ``doc_id % n`` only decides what *state* a doc
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import values as V
 from ..schemas import MANIFEST_COLUMNS
-from ..session import ensure_checkpoint_dir
+from ..session import new_path
+from ..sources.files import write_tree
 from ..sources.tables import corpus_from_table, spread
 
 SOURCE = "fr"
@@ -57,9 +56,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return new_path(spark, name)
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +75,17 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_from_table(docs(spark, sf_dir))
 
 
+TREE_PREFIX = "case when doc_id % 7 = 1 then '_drafts/' when doc_id % 7 = 2 then '.kept/' else '' end"
+
+
+def tree(spark: SparkSession, sf_dir: str) -> str:
+    """All documents written as files; some lie in folders whose names begin with . or _."""
+    folder = scratch(spark, "tree")
+    rows = docs(spark, sf_dir).withColumn("prefix", F.expr(TREE_PREFIX))
+    write_tree(rows.select(F.concat("prefix", "relpath").alias("relpath"), "text"), folder)
+    return folder
+
+
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest in which every kind of change against ``corpus`` occurs."""
     state, status = F.col("doc_id") % 10, F.col("doc_id") % 4
@@ -186,6 +195,10 @@ DOCS = f"""docs as (select doc_id, lang, source, text as raw, {PATH} as relpath,
     {EPOCH_MICROS} + doc_id * 60000000 as mtime from documents)"""
 CORPUS = DOCS + """,
 corpus as (select doc_id, lang, raw, relpath, text, mtime, strlen(text)::bigint as size, sha256(text) as hash from docs)"""
+TREE = DOCS + f""",
+tree as (select doc_id, concat({TREE_PREFIX}, relpath) as relpath, text from docs),
+listed as (select * from tree where (relpath like '%.md' or regexp_matches(relpath, '^src/.*[.]py$'))
+  and (starts_with(relpath, 'knowledge/diary/') or not list_has_any(string_split(relpath, '/'), {V.EXCLUDE_DIRS!r})))"""
 MANIFEST = CORPUS + f""",
 man0 as (
   select relpath, case when doc_id % 10 = 1 then sha256(concat(hash, 'x')) else hash end as original_hash,
@@ -195,7 +208,7 @@ man0 as (
   select concat('gone/', doc_id, '.md'), hash, mtime, lang, {_STATUS}, size, doc_id from corpus where doc_id % 20 = 7),
 manifest as (select relpath, original_hash, original_mtime, language, {sql_date('relpath')} as date, status, size,
     case when status = 'indexed' then (doc_id % 6)::int end as chunk_count, null::varchar as error from man0)"""
-TRANSLATIONS = f"""tr as (select {PATH} as relpath, concat('<!-- fr to en -->', chr(10), text) as text
+TRANSLATIONS = f"""tr as (select doc_id, {PATH} as relpath, concat('<!-- fr to en -->', chr(10), text) as text
     from documents where lang = 'fr' and doc_id % 2 = 0)"""
 VECTORS = """vectors as (select concat('v', lpad(vec_id::varchar, 12, '0')) as id,
     concat('set', label % 3, '/v', vec_id, '.md') as source_file, concat('label ', label) as section,

@@ -19,6 +19,7 @@ from ..operators import search as SE
 from ..operators.embed import HashEmbedder, ModelEmbedder, embed
 from ..operators.topk import rank_hits, top_k
 from ..plans import index as IX
+from ..session import materialize
 from ..sources import files, store
 from ..sources.notes import render_notes
 from ..sources.tables import latest_versions
@@ -72,17 +73,27 @@ CHUNKS_SQL = "with " + D.DOCS + "," + D.sql_chunks()
 # --- sources and sinks ------------------------------------------------------------
 
 
-@query("s1_scan_files")
+TREE_INCLUDE = ["**/*.md", "src/**/*.py"]
+
+
+def listed(spark, sf_dir) -> DataFrame:
+    return files.scan_files(spark, D.tree(spark, sf_dir), include=TREE_INCLUDE)
+
+
+@query("s1_scan_files", f"with {D.TREE} select relpath, strlen(text)::bigint as size from listed")
 def s1(spark, sf_dir):
-    """The folder of the given tables as a file tree."""
-    return files.scan_files(spark, sf_dir, include=["**/*.parquet"], exclude_dirs=[]).select("relpath", "size")
+    """The documents as a file tree, walked level by level."""
+    return listed(spark, sf_dir).select("relpath", "size")
 
 
-@query("s1_file_hashes")
+@query("s1_file_hashes", f"with {D.TREE} select relpath, strlen(text)::bigint as size, sha256(text) as content_hash from listed")
 def s1_hash(spark, sf_dir):
-    listing = files.scan_files(spark, sf_dir, include=["**/*.parquet"], exclude_dirs=[])
-    read = files.read_contents(listing.select("relpath", "path", "mtime", "size"))
-    return read.select("relpath", "size", S.content_hash(F.col("content")).alias("content_hash"))
+    return files.hash_files(listed(spark, sf_dir)).select("relpath", "size", "content_hash")
+
+
+@query("s1_corpus_from_files", f"with {D.TREE} select relpath, text, sha256(text) as content_hash from listed")
+def s1_corpus(spark, sf_dir):
+    return files.corpus_from_files(listed(spark, sf_dir)).select("relpath", "text", "content_hash")
 
 
 @query("s2_corpus_from_table", f"with {D.CORPUS} select relpath, text, mtime, size, hash as content_hash from corpus")
@@ -611,6 +622,49 @@ def t4(spark, sf_dir):
     return status.next_batch(D.manifest(spark, sf_dir)).select("relpath")
 
 
+def tree_manifest(listing: DataFrame, spark, sf_dir) -> DataFrame:
+    """What a manifest would know of the tree: a third of the files as they are, a third with
+    another time, the rest with another time and hash; some are not recorded, some gone."""
+    number = F.regexp_extract("relpath", r"([0-9]+)[.][a-z]+$", 1).cast("bigint")
+    rows = files.hash_files(listing).withColumn("n", number)
+    gone = rows.withColumn("relpath", F.concat(F.lit("gone/"), F.col("relpath"))).filter("n % 10 = 3")
+    kept = rows.filter("n % 10 <> 0").unionByName(gone)
+    return kept.select(
+        "relpath",
+        F.when(F.col("n") % 3 == 2, F.lit("other")).otherwise(F.col("content_hash")).alias("original_hash"),
+        F.when(F.col("n") % 3 == 0, F.col("mtime")).otherwise(F.col("mtime") - F.expr("interval 100 seconds")).alias("original_mtime"),
+        F.lit("fr").alias("language"), F.lit(None).cast("string").alias("date"), F.lit("indexed").alias("status"), "size",
+        F.col("mtime").alias("source_mtime"), F.lit(None).cast("timestamp").alias("indexed_at"),
+        F.lit(1).alias("chunk_count"), F.lit(None).cast("string").alias("error"),
+    )
+
+
+TREE_NUMBER = "regexp_extract(relpath, '([0-9]+)[.][a-z]+$', 1)::bigint"
+
+
+@query("j1_file_candidates", f"""with {D.TREE}, n as (select *, {TREE_NUMBER} as n from listed)
+    select relpath, strlen(text)::bigint as size from n where n % 10 = 0 or n % 3 <> 0""")
+def j1_candidates(spark, sf_dir):
+    """Files whose content has to be looked at; none is opened for this."""
+    listing = listed(spark, sf_dir)
+    return CH.file_candidates(listing, tree_manifest(listing, spark, sf_dir)).select("relpath", "size")
+
+
+@query("j1_scan_tree", f"""with {D.TREE}, n as (select *, {TREE_NUMBER} as n from listed),
+    l as (select relpath, text as text, n from n), {CLEAN_SQL.replace('from corpus', 'from l')},
+    w as (select relpath, n, sha256(text) as hash, case when length(cleaned) >= 30 and {HITS_SQL} >= 5 then 'fr' else 'en' end as language from cleaned),
+    a as (select relpath, hash, n, language, case when n % 10 = 0 then 'new' when n % 3 = 2 then 'changed' else 'unchanged' end as action from w)
+    select relpath, action, action = 'unchanged' and n % 3 = 1 as touched, hash,
+      case when action = 'unchanged' then 'fr' else language end as language from a
+    union all select concat('gone/', relpath), 'deleted', false, null, null from w where n % 10 = 3""")
+def j1_tree(spark, sf_dir):
+    """A scan of the tree: times first, then hashes by blocks, then texts of what has changed."""
+    listing = listed(spark, sf_dir)
+    known = materialize(tree_manifest(listing, spark, sf_dir))
+    found = IX.scan(files.FileCorpus(listing), known, options())
+    return found.select("relpath", "action", "touched", "hash", "language")
+
+
 # --- set operations ---------------------------------------------------------------------
 
 
@@ -873,8 +927,7 @@ def i1_store(spark, sf_dir):
 
 def seeded_store(spark, sf_dir, **more) -> store.IndexStore:
     held = store.IndexStore(spark, D.scratch(spark, "store"), options(translation_enabled=True, **more))
-    held._write(D.manifest(spark, sf_dir), "manifest", 1)
-    held._commit(1, 1)
+    held.seed(D.manifest(spark, sf_dir))
     return held
 
 
@@ -1006,6 +1059,64 @@ def i9(spark, sf_dir):
     return done.select("relpath", "status")
 
 
+@query("i3_rebuild_store", INDEX_SQL.replace('@WHERE@', "c.relpath is not null") + " select id, source_file, chunk_index, content from chunks")
+def i3_store(spark, sf_dir):
+    held = seeded_store(spark, sf_dir)
+    held.rebuild(D.corpus(spark, sf_dir), D.translations(spark, sf_dir), indexed_at=stamp())
+    return held.chunks().select("id", "source_file", "chunk_index", "content")
+
+
+@query("i1_compact_store", UPDATED_SQL + f" select {MANIFEST_OUT_SQL} from updated")
+def i1_compact(spark, sf_dir):
+    """An update and then a new base: the same manifest."""
+    held = seeded_store(spark, sf_dir)
+    held.update(D.corpus(spark, sf_dir), D.translations(spark, sf_dir), indexed_at=stamp())
+    held.compact()
+    return manifest_out(held.manifest())
+
+
+@query("i1_last_outcomes", UPDATED_SQL + """ select relpath, case when txt is null and language = 'fr' then 'no_translation'
+      when txt is null then 'file_not_found' else 'ok' end as result from todo
+    union all select relpath, 'deleted' from next0 where status = 'deleted'""")
+def i1_outcomes(spark, sf_dir):
+    held = seeded_store(spark, sf_dir)
+    held.update(D.corpus(spark, sf_dir), D.translations(spark, sf_dir), indexed_at=stamp())
+    return held.last_outcomes()
+
+
+DRAINED = f"""with {D.MANIFEST}, {LABEL_SQL}, first as (select m.relpath from manifest m where m.status = 'pending_translation'),
+    done as (select relpath from first where relpath in (select relpath from corpus))"""
+
+
+@query("i7_drain_translations", DRAINED + """ select m.relpath, case when m.relpath in (select relpath from done) then
+    'indexed' else status end as status from manifest m where m.status = 'pending_translation'""")
+def i7_drain(spark, sf_dir):
+    """All documents that wait are translated by an outside program and indexed."""
+    from ..plans.drain import drain_translations
+
+    held = seeded_store(spark, sf_dir)
+    every = held.manifest().filter("status = 'pending_translation'").select("relpath")
+    every = materialize(every)
+    drain_translations(held, D.corpus(spark, sf_dir), lambda df: df.withColumn("text", F.concat(F.lit("in English "), "text")))
+    return held.manifest().join(every, "relpath", "left_semi").select("relpath", "status")
+
+
+@query("j8_translations_after_update", f"""with {D.MANIFEST}, {D.TRANSLATIONS} select relpath from tr
+    where doc_id % 3 <> 0""")
+def j8_update(spark, sf_dir):
+    """Translations that are left once an index run has seen that every third document is gone."""
+    manifest = D.manifest(spark, sf_dir)
+    number = F.regexp_extract("relpath", r"([0-9]+)[.][a-z]+$", 1).cast("bigint")
+    gone = manifest.withColumn("status", F.when(number % 3 == 0, F.lit("deleted")).otherwise(F.col("status")))
+    unrecorded = D.translations(spark, sf_dir).join(manifest, "relpath", "left_anti").select("relpath")
+    more = unrecorded.filter(number % 3 == 0).select("relpath", F.lit("deleted").alias("status"))
+    done = IX.index_pending(
+        gone.unionByName(more, allowMissingColumns=True), D.corpus(spark, sf_dir), spark.createDataFrame([], store.CHUNKS),
+        D.translations(spark, sf_dir), options=options(translation_enabled=True), indexed_at=stamp(),
+    )
+    return done.translations.select("relpath")
+
+
 # --- user functions ------------------------------------------------------------------------------
 
 

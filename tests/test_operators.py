@@ -68,7 +68,7 @@ def test_scan_default_rules(spark, tree):
 def test_scan_two_patterns_and_contents(spark, tree):
     listing = files.scan_files(spark, str(tree), ["**/*.md", "src/**/*.py"])
     assert {"src/code.py", "src/a b/deep é.py", "readme.md"} <= set(found(listing))
-    read = files.read_contents(listing.select("relpath", "path", "mtime", "size"))
+    read = files.read_contents(listing)
     texts = {r.relpath: r.text for r in files.decode_text(read).collect()}
     assert texts["src/a b/deep é.py"] == "content of src/a b/deep é.py" and len(texts) == listing.count()
     assert {r.relpath: r.text for r in files.corpus_from_files(listing).collect()} == texts
@@ -79,9 +79,75 @@ def test_scan_excluded_files(spark, tree):
     assert "manifest.json" not in got and "sub/manifest.json" in got
 
 
-def test_listing_does_not_read_contents(spark, tree):
-    plan = files.scan_files(spark, str(tree)).select("relpath", "mtime", "size")
-    assert "content" not in plan._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+def test_walk_keeps_odd_names_and_enters_no_excluded_folder(spark, tree):
+    for name in (".hidden/a.md", "_drafts/b.md", "x/.c.md", "knowledge/diary/deep/er/d.md", "a#b?/e%20f.md"):
+        (tree / name).parent.mkdir(parents=True, exist_ok=True)
+        (tree / name).write_text(name)
+    (tree / "loop").symlink_to(tree)
+    (tree / "empty").mkdir()
+    closed = tree / "node_modules"
+    closed.chmod(0)  # entering it would fail for any user but root
+    try:
+        listing = files.scan_files(spark, str(tree))
+        got = found(listing)
+    finally:
+        closed.chmod(0o755)
+    assert got == sorted([
+        ".hidden/a.md", "_drafts/b.md", "a#b?/e%20f.md", "docs/guide.md", "knowledge/diary/2026-06-27_000000_session.md",
+        "knowledge/diary/deep/er/d.md", "readme.md", "x/.c.md"])
+    read = {r.relpath: r.content for r in files.read_contents(listing).collect()}
+    assert read["a#b?/e%20f.md"] == b"a#b?/e%20f.md" and len(read) == len(got)
+    assert {r.path for r in listing.collect()} == {r.path for r in files.hash_files(listing).collect()}
+
+
+def test_walk_of_an_empty_tree(spark, tmp_path):
+    assert found(files.scan_files(spark, str(tmp_path))) == []
+
+
+class Blocks:
+    """A stream of zeros that notes how much is asked for."""
+
+    def __init__(self, size):
+        self.left, self.most = size, 0
+
+    def read(self, n):
+        self.most = max(self.most, n)
+        n = min(n, self.left)
+        self.left -= n
+        return bytes(n)
+
+
+def test_hash_holds_one_block(spark, tmp_path):
+    import hashlib
+
+    stream = Blocks(files.HASH_BLOCK * 3 + 5)
+    assert files.block_hash(stream)[0] == hashlib.sha256(bytes(files.HASH_BLOCK * 3 + 5)).hexdigest()
+    assert stream.most == files.HASH_BLOCK
+    big = tmp_path / "big.md"
+    with open(big, "wb") as f:
+        f.truncate(3 << 30)  # larger than any cell of a frame
+    row = files.hash_files(files.scan_files(spark, str(tmp_path))).first()
+    assert row.size == 3 << 30 and len(row.content_hash) == 64
+
+
+def test_scan_of_a_tree_reads_what_has_another_time(spark, tree, monkeypatch):
+    listing = files.scan_files(spark, str(tree), ["**/*.md"])
+    known = {r.relpath: r for r in files.hash_files(listing).collect()}
+    guide, readme = known["docs/guide.md"], known["readme.md"]
+    manifest = spark.createDataFrame([
+        (r.relpath, r.content_hash, r.mtime - timedelta(seconds=d), "xx", None, "indexed", r.size, r.mtime, None, 1, None)
+        for r, d in ((guide, 100), (readme, 0))
+    ] + [entry("gone.md", "g")], MANIFEST)
+    opened = []
+    read = files.FileCorpus.rows_of
+    monkeypatch.setattr(files.FileCorpus, "rows_of", lambda self, keys: opened.extend(found(keys)) or read(self, keys))
+    got = {r.relpath: (r.action, r.touched, r.hash) for r in IX.scan(files.FileCorpus(listing), manifest).collect()}
+    diary = "knowledge/diary/2026-06-27_000000_session.md"
+    assert got == {
+        "readme.md": ("unchanged", False, readme.content_hash), "docs/guide.md": ("unchanged", True, guide.content_hash),
+        diary: ("new", False, known[diary].content_hash), "gone.md": ("deleted", False, None),
+    }
+    assert opened == [diary]  # the touched file was hashed, not read as text
 
 
 @pytest.mark.parametrize("pattern, path, hit", [
@@ -150,6 +216,36 @@ def test_changes_do_not_shuffle_text(spark):
     assert shuffled and "text" not in plan.split("Exchange hashpartitioning")[0].split("SortMergeJoin")[-1]
 
 
+def schemas_read(df):
+    import re as regex
+
+    return regex.findall(r"ReadSchema: struct<([^>]*)>", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_scan_compares_times_without_reading_texts(spark, tmp_path, monkeypatch):
+    corpus(spark, ("a.md", "n", T0), ("b.md", "m", T0)).write.parquet(str(tmp_path / "c"))
+    spark.createDataFrame([entry("a.md", "n")], MANIFEST).write.parquet(str(tmp_path / "m"))
+    plans = []
+    keep = CH.materialize_measured
+    monkeypatch.setattr(CH, "materialize_measured", lambda df, name: plans.append(df) or keep(df, name))
+    texts, manifest = (spark.read.parquet(str(tmp_path / x)) for x in "cm")
+    got = {r.relpath: (r.action, r.hash) for r in CH.scan_corpus(texts, manifest).collect()}
+    assert got["a.md"][0] == "unchanged" and got["b.md"][0] == "new" and None not in dict(got.values()).values()
+    read = schemas_read(plans[0])
+    assert read and not any("text" in schema for schema in read)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_only_listed_rows_by_broadcast_and_by_filter(spark, limit):
+    rows = spark.range(5000).selectExpr("concat('p', id) relpath", "id")
+    keys = spark.createDataFrame([(f"p{i}",) for i in (3, 700, 4999, 9999)], "relpath string")
+    got = CH.only_listed(rows, keys, limit=limit)
+    assert sorted(r.id for r in got.collect()) == [3, 700, 4999]
+    if not limit:  # few other rows get past the filter
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("LeftSemi") == 2
+
+
 def test_candidates_skip_known_mtimes(spark, tree):
     listing = files.scan_files(spark, str(tree))
     known = listing.filter("relpath = 'readme.md'").select("relpath", F.col("mtime").alias("original_mtime"))

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorespan.operators.embed import HashEmbedder, embed
-from lorespan.plans.drain import drain_translations
+from lorespan.plans.drain import drain_translations, numbered
 from lorespan.plans.index import IndexOptions
 from lorespan.plans.notes import append_notes
+from lorespan.sources.files import FileCorpus, scan_files
 from lorespan.sources.store import IndexStore, chunks_of_file, open_chunks, write_chunks
 from lorespan.sources.tables import corpus_from_table
 from lorespan.streaming import ingest
@@ -94,6 +95,88 @@ def test_scan_without_index_then_index_only(spark, tmp_path):
     assert list(statuses(store)) == ["a.md"] and contents(store) == [("a.md", "one")]
 
 
+def test_an_update_takes_few_jobs(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "s"), embedder=HashEmbedder(8))
+    store.update(corpus(spark, a="one", b="two", c="three"))
+    for path, texts in (("t1", dict(a="one", b="two changed", d="four")), ("t2", dict(a="one", b="again", d="fifth"))):
+        corpus(spark, **texts).write.parquet(str(tmp_path / path))
+        table = spark.read.parquet(str(tmp_path / path))
+        jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+        before = jobs()
+        store.update(table)
+        assert jobs() - before <= 25
+    assert contents(store) == [("a.md", "one"), ("b.md", "again")]
+
+
+def test_a_failed_run_is_not_seen(spark, tmp_path, monkeypatch):
+    store = IndexStore(spark, str(tmp_path / "s"))
+    store.update(corpus(spark, a="one"))
+    with monkeypatch.context() as patch:
+        def fail(*_):
+            raise RuntimeError("lost")
+        patch.setattr(IndexStore, "_commit", fail)
+        with pytest.raises(RuntimeError):
+            store.update(corpus(spark, a="other text", b="b"))
+    assert contents(store) == [("a.md", "one")]
+    store.update(corpus(spark, a="other text"))
+    assert contents(store) == [("a.md", "other text")] and list(statuses(store)) == ["a.md"]
+
+
+def test_blank_document_keeps_its_old_chunks(spark, tmp_path):
+    for purge, left in ((False, [("a.md", "one")]), (True, [])):
+        store = IndexStore(spark, str(tmp_path / str(purge)), IndexOptions(purge_on_error=purge))
+        store.update(corpus(spark, a="one"))
+        store.update(corpus(spark, a="     "))
+        assert statuses(store) == {"a.md": "error"} and contents(store) == left
+        store.update(corpus(spark, a="     "))
+        assert statuses(store) == {"a.md": "error"}
+
+
+def test_scan_without_index_then_index_only(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "s"))
+    texts = corpus(spark, a="one", b="two")
+    store.update(texts, index=False)
+    assert set(statuses(store).values()) == {"pending_index"} and contents(store) == []
+    questions = embed(spark.createDataFrame([(1, "one")], "query_id bigint, question string"), "question", HashEmbedder(8))
+    store.embedder = HashEmbedder(8)
+    hits = store.search_fresh(questions, texts, top_k=1).collect()
+    assert len(hits) == 1 and set(statuses(store).values()) == {"indexed"}
+    store.update(corpus(spark, a="one"), index=False)
+    assert statuses(store)["b.md"] == "deleted"
+    store.index_only(texts)
+    assert list(statuses(store)) == ["a.md"] and contents(store) == [("a.md", "one")]
+
+
+def test_an_update_takes_few_jobs(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "s"), embedder=HashEmbedder(8))
+    store.update(corpus(spark, a="one", b="two", c="three"))
+    for path, texts in (("t1", dict(a="one", b="two changed", d="four")), ("t2", dict(a="one", b="again", d="fifth"))):
+        corpus(spark, **texts).write.parquet(str(tmp_path / path))
+        table = spark.read.parquet(str(tmp_path / path))
+        spark.sparkContext.setJobGroup(path, "update")
+        try:
+            store.update(table)
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(path)) <= 20
+    assert contents(store) == [("a.md", "one"), ("b.md", "again"), ("d.md", "fifth")]
+
+
+def test_update_from_a_file_tree(spark, tmp_path):
+    root = tmp_path / "tree"
+    root.mkdir()
+    for name, text in (("a.md", "one"), ("b.md", "two")):
+        (root / name).write_text(text)
+    store = IndexStore(spark, str(tmp_path / "s"))
+    store.update(FileCorpus(scan_files(spark, str(root))))
+    assert contents(store) == [("a.md", "one"), ("b.md", "two")]
+    (root / "a.md").unlink()
+    (root / "c.md").write_text("three")
+    store.update(FileCorpus(scan_files(spark, str(root))))
+    assert contents(store) == [("b.md", "two"), ("c.md", "three")]
+    assert {r.relpath: r.result for r in store.last_outcomes().collect()} == {"a.md": "deleted", "c.md": "ok"}
+
+
 HU = "és nem hogy már volt egy csak szöveg amely elég hosszú "
 
 
@@ -111,6 +194,19 @@ def test_translations_are_drained_in_batches(spark, tmp_path):
     assert drain_translations(store, texts, translate, batch=2) == 1
     assert ("hu3.md", "in English hu3.md") in contents(store) and len(contents(store)) == 6
     assert {r.language for r in store.chunks().filter("source_file like 'hu%'").collect()} == {"hu"}
+    assert drain_translations(store, texts, translate) == 0
+    assert {r.relpath for r in store.translations().collect()} == {f"hu{i}.md" for i in range(5)}
+    store.update(corpus(spark, en="plain text", **{f"hu{i}": HU + str(i) for i in range(4)}))
+    assert {r.relpath for r in store.translations().collect()} == {f"hu{i}.md" for i in range(4)}  # with its document
+    store.compact()
+    assert store.translations().count() == 4
+
+
+def test_places_follow_the_order_of_paths(spark):
+    rows = spark.range(1000).selectExpr("concat('p', lpad(hash(id) & 65535, 5, '0'), '-', id) relpath").repartition(9)
+    got = {r.relpath: r.place for r in numbered(rows).collect()}
+    assert [got[p] for p in sorted(got)] == list(range(1000))
+    assert numbered(rows.limit(0)).count() == 0
 
 
 def test_notes_are_indexed_at_once(spark, tmp_path):
