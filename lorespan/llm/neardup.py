@@ -6,11 +6,16 @@ attempt) picks, so any two sets agree in a bin with their Jaccard similarity as
 Bands of bins form buckets. Equal sets are one class before that, and only class
 representatives go on.
 
-Within a bucket candidate pairs form a star: one hub against all others, confirmed on whole
-sets. A star misses a link that does not touch its hub, so buckets that still span several
-components get further hubs (2, 4, 8, ...) until one component is left or every member has been
-a hub. Groups of copies close after the first star; no link between members of a bucket is
-lost. With 40 bands of 5 bins a pair at similarity 0.8 shares no bucket with probability 1e-7.
+Within a bucket candidate pairs form a star: one hub against all others, confirmed on whole sets.
+Groups of copies close with that. A star misses a link that does not touch its hub, so buckets
+whose members are then in several components stay open, and their members are dealt anew, by their
+rarest shingles. Two sets that link differ in few shingles; in any common order of the shingles
+the first one they share therefore stands within a short prefix of both, and how far back it may
+stand follows from the sizes. The order is by frequency among the open documents, so that documents
+that share much, but too little to link, are kept apart by what each has of its own and meet
+nowhere. Members whose shingle stands early are hubs in turn (1, 2, 4, 8, ... at a time) until a
+group is one component or all such members were hubs. Every pair that could link is met by that;
+with 40 bands of 5 bins a pair at similarity 0.8 shares no bucket with probability 1e-7.
 
 Defined results: texts without words link with nothing; null ids link with nothing and are
 kept; rows that share an id are one document (repeated rows are kept or dropped together by
@@ -207,6 +212,118 @@ def components(edges: DataFrame) -> DataFrame:
     return e
 
 
+def rare_shingles(texts: DataFrame, k: int, similarity: int) -> DataFrame:
+    """rep, n, key, pos, hub: the shingles in a document's prefix that some other document has too.
+    ``pos`` is a shingle's place (from 0) in the order of frequency, ``hub`` tells whether a pair
+    with a set of the same size or larger can first meet there."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for batch in batches:
+            for i, rep in enumerate(batch.column(0).to_pylist()):
+                s = shingle_set(batch.column(1)[i].as_py(), k, hashes)
+                columns = [np.full(len(s), rep, np.int64), np.full(len(s), len(s), np.int32), s.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rep", "n", "key"])
+
+    rows = written(texts.select("rep", "text").mapInArrow(run, "rep bigint, n int, key bigint"), "shingles")
+    shared = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    held = rows.join(shared, "key")
+    mine = Window.partitionBy("rep")
+    alone = F.col("n") - F.count("*").over(mine)  # shingles that nobody shares come first
+    place = alone + F.row_number().over(mine.orderBy("df", "key")) - 1
+    s, n = similarity, F.col("n")
+    most = n - F.ceil(s * n / 100)
+    most_as_smaller = n - F.ceil(2 * s * n / (100 + s))
+    found = held.withColumn("pos", place.cast("int")).where(F.col("pos") <= most)
+    return found.select("rep", "n", "key", "pos", (F.col("pos") <= most_as_smaller).alias("hub"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with ``rank``, the place (from 1) among the rows of their key in the order of a hash of
+    rep: by slices of the hash, so that a key with very many rows is ranked in many tasks."""
+    h = F.xxhash64("rep")
+    sliced = rows.withColumn("h", h).withColumn("slice", F.shiftright("h", 58))
+    counts = sliced.groupBy("key", "slice").agg(F.count("*").alias("c"))
+    before = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("key", "slice", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
+    local = F.row_number().over(Window.partitionBy("key", "slice").orderBy("h", "rep"))
+    return sliced.withColumn("local", local).join(offsets, ["key", "slice"]).withColumn(
+        "rank", F.col("before") + F.col("local")
+    ).drop("h", "slice", "before", "local")
+
+
+def _labelled(rows: DataFrame, label: DataFrame | None) -> DataFrame:
+    """Rows with ``comp``, the component of their rep so far."""
+    if label is None:
+        return rows.withColumn("comp", F.col("rep"))
+    return rows.join(label, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+
+def _joined(links: DataFrame, pairs: DataFrame, label: DataFrame | None) -> DataFrame:
+    """rep, comp after links (a, b) between the pairs' documents."""
+    edges = links.join(pairs, (F.col("a") == F.col("hub")) & (F.col("b") == F.col("member"))).select(
+        F.col("hub_comp").alias("a"), F.col("member_comp").alias("b")
+    )
+    roots = components(edges)
+    if label is None:
+        return roots.select(F.col("node").alias("rep"), F.col("root").alias("comp"))
+    moved = label.join(roots, F.col("comp") == F.col("node"), "left").select("rep", F.coalesce("root", "comp").alias("comp"))
+    fresh = roots.join(label.select("rep"), F.col("node") == F.col("rep"), "left_anti")
+    return moved.unionByName(fresh.select(F.col("node").alias("rep"), F.col("root").alias("comp")))
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """Rows (with key and comp) of the keys whose rows are in several components."""
+    several = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    return rows.join(several.select("key"), "key", "left_semi")
+
+
+def _first_stars(members: DataFrame, docs: DataFrame, k: int, similarity: int, id_col: str, text: str) -> DataFrame | None:
+    """rep, comp once each bucket's first member was compared with the others."""
+    first = F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep"), F.col("n"))).alias("first")
+    hubs = members.groupBy("key").agg(first).select("key", F.col("first.rep").alias("hub"), F.col("first.n").alias("hub_n"))
+    pairs = (
+        members.join(hubs, "key")
+        .where((F.col("rep") != F.col("hub")) & (100 * F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n")))
+        .select("hub", F.col("rep").alias("member"), F.col("hub").alias("hub_comp"), F.col("rep").alias("member_comp"))
+        .distinct()
+    )
+    pairs = written(pairs, "stars")
+    if pairs.isEmpty():
+        return None
+    links = written(confirmed(pairs.select("hub", "member"), docs, k, similarity, id_col, text), "links")
+    return written(_joined(links, pairs, None), "labels")
+
+
+def _later_stars(members: DataFrame, label: DataFrame | None, texts: DataFrame, k: int, similarity: int) -> DataFrame | None:
+    """rep, comp once the rows of ``members`` (rep, n, key, pos, hub) have been hubs in turn."""
+    ranks = _numbered(members.where("hub").select("rep", "key"))
+    members = written(members.drop("hub").join(ranks, ["rep", "key"], "left"), "members")
+    first, hubs, s = 1, 1, similarity
+    while True:
+        left = written(_open(_labelled(members.where(f"rank is null or rank >= {first}"), label)), "open")
+        hub = left.where(F.col("rank") < first + hubs).select(
+            F.col("key").alias("at"), F.col("rep").alias("hub"), F.col("comp").alias("hub_comp"), F.col("rank").alias("hub_rank"),
+            F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"),
+        )
+        both = F.col("n") + F.col("hub_n")
+        near = ((100 + s) * (F.col("n") - F.col("pos")) >= s * both) & ((100 + s) * (F.col("hub_n") - F.col("hub_pos")) >= s * both)
+        sizes = 100 * F.least("n", "hub_n") >= s * F.greatest("n", "hub_n")
+        turn = F.col("rank").isNull() | (F.col("rank") > F.col("hub_rank"))
+        pairs = (
+            left.join(hub, (F.col("key") == F.col("at")) & turn & (F.col("comp") != F.col("hub_comp")) & sizes & near)
+            .select("hub", F.col("rep").alias("member"), "hub_comp", F.col("comp").alias("member_comp"))
+            .distinct()
+        )
+        pairs = written(pairs, "stars")
+        if not pairs.isEmpty():
+            links = written(confirmed(pairs.select("hub", "member"), texts, k, similarity, "rep", "text"), "links")
+            label = written(_joined(links, pairs, label), "labels")
+        first, hubs = first + hubs, 2 * hubs
+        if left.where(F.col("rank") >= first).isEmpty():
+            return label
+
+
 def groups(
     docs: DataFrame, k: int = 5, similarity: int = 80, id_col: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -218,47 +335,21 @@ def groups(
     keyed = sig.where("doc_id is not null and n_shingles > 0")
     classes = keyed.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     # Sets under 4 shingles link at 0.8 only when equal.
-    reps = keyed.where("n_shingles >= 4").join(classes, "set_key").where("doc_id = rep").select("rep", "n_shingles", "bands").distinct()
-    rows = reps.select("rep", "n_shingles", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    order = Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep")
-    members = written(
-        rows.join(_small(written(shared, "buckets")), "key").withColumn("rank", F.row_number().over(order)), "members"
-    )
-    label, first, hubs = None, 1, 1
-    while True:
-        at = members if label is None else members.join(label, "rep", "left")
-        at = at.withColumn("comp", F.col("rep") if label is None else F.coalesce("comp", "rep"))
-        at = at.where((F.col("size") > first) & (F.col("rank") >= first))  # earlier hubs met every member
-        open_keys = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        open_keys = open_keys.where("lo <> hi").select("key")
-        left = written(at.join(open_keys, "key", "left_semi"), "open")
-        if left.isEmpty():
-            break
-        hub = left.where(F.col("rank").between(first, first + hubs - 1)).select(
-            "key", F.col("rep").alias("hub"), F.col("comp").alias("hub_comp"), F.col("rank").alias("hub_rank"), F.col("n_shingles").alias("hub_n")
-        )
-        smaller, larger = F.least("n_shingles", "hub_n"), F.greatest("n_shingles", "hub_n")
-        pairs = (
-            left.join(hub, "key")
-            .where((F.col("rank") > F.col("hub_rank")) & (F.col("comp") != F.col("hub_comp")))
-            .where(100 * smaller >= similarity * larger)
-            .select("hub", F.col("rep").alias("member"), "hub_comp", F.col("comp").alias("member_comp"))
-            .distinct()
-        )
-        pairs = written(pairs, "stars")
-        if not pairs.isEmpty():
-            links = written(confirmed(pairs.select("hub", "member"), docs, k, similarity, id_col, text), "links")
-            edges = links.join(pairs, (F.col("a") == F.col("hub")) & (F.col("b") == F.col("member"))).select(
-                F.col("hub_comp").alias("a"), F.col("member_comp").alias("b")
-            )
-            roots = components(edges)
-            known = left.select("rep", "comp").distinct() if label is None else label
-            label = written(
-                known.join(roots, F.col("comp") == F.col("node"), "left").select("rep", F.coalesce("root", "comp").alias("comp")),
-                "labels",
-            )
-        first, hubs = first + hubs, 2 * hubs
+    reps = keyed.where("n_shingles >= 4").join(classes, "set_key").where("doc_id = rep")
+    reps = reps.select("rep", F.col("n_shingles").alias("n"), "bands").distinct()
+    rows = reps.select("rep", "n", F.explode("bands").alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    members = written(rows.join(_small(written(shared, "buckets")), "key"), "members")
+    label = _first_stars(members, docs, k, similarity, id_col, text)
+    still = written(_open(_labelled(members, label)).select("rep").distinct(), "still")
+    if not still.isEmpty():
+        texts = docs.select(docs[id_col].cast("bigint").alias("rep"), docs[text].cast("string").alias("text"))
+        texts = texts.join(_small(still), "rep", "left_semi")
+        rows_of_id = keyed.join(_small(still), F.col("doc_id") == F.col("rep"), "left_semi").groupBy("doc_id").count()
+        if not rows_of_id.where("count > 1").isEmpty():
+            texts = texts.groupBy("rep").agg(F.min("text").alias("text"))
+        texts = written(texts, "texts")
+        label = _later_stars(rare_shingles(texts, k, similarity), label, texts, k, similarity)
     out = sig.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     out = out.withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")))
     if label is not None:
