@@ -1,7 +1,8 @@
 """Token ids by a public tokenizer, encoded piece by piece with a bounded memory of pieces.
 
 The pre-tokenizers in use never join characters across the places where a text is cut here, so
-the ids of a text are those of its pieces in order; equal pieces are encoded once.
+the ids of a text are those of its pieces in order; equal pieces are encoded once. Texts are cut,
+and their distinct pieces found, by Arrow in groups of texts.
 
 `drop`: the tokenizer drops white space; cut at ASCII white space.
 `keep`: byte-level pre-tokenizer; a space belongs to the word after it, so cut before a single
@@ -15,13 +16,15 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SLOW = re.compile(r"\A\s|\s\s|\s\Z")
 CUT = re.compile(r"(?<=\S)(?= \S)")
-#: So many distinct pieces are remembered by a worker; then it starts anew.
-PIECES = 300_000
+#: So many distinct pieces are remembered by a worker; then the less used half is forgotten.
+PIECES = 400_000
 #: Texts are encoded in groups of about so many characters.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 4_000_000
 
 
 class Encoder:
@@ -39,74 +42,106 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self.split = {"drop": self._dropping, "keep": self._keeping}[spaces]
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict = {}
+        self.index: dict[str, int] = {}
         self.ids = np.empty(1 << 16, np.uint32)
         self.start = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int64)
+        self.uses = np.zeros(1 << 16, np.int64)
         self.used = 0
 
     @staticmethod
-    def _dropping(text: str) -> list:
-        return text.encode().split()
+    def _dropping(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all texts, and how many each has."""
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        pieces, counts = split.flatten(), pc.list_value_length(split).to_numpy()
+        filled = pc.not_equal(pieces, "")
+        text = np.repeat(np.arange(len(texts)), counts)[filled.to_numpy(zero_copy_only=False)]
+        return pieces.filter(filled), np.bincount(text, minlength=len(texts))
 
     @staticmethod
-    def _keeping(text: str) -> list:
-        """Pieces; one that begins with a line feed is what follows it, any other a space and
+    def _keeping(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """Likewise; a piece that begins with a line feed is what follows it, any other a space and
         itself."""
-        if not text:
-            return []
-        if SLOW.search(text):
-            return ["\n" + x for x in CUT.split(text)]
-        pieces: list[str] = []
-        for line in text.split("\n"):
-            at = len(pieces) + bool(pieces)
-            if pieces:
-                pieces.append("\n\n")
-            pieces += line.split(" ")
-            pieces[at] = "\n" + pieces[at]
-        return pieces
-
-    @staticmethod
-    def _literal(piece) -> str:
-        if isinstance(piece, bytes):
-            return piece.decode()
+        plain = np.array([not SLOW.search(t) and t != "" for t in texts], bool)
+        lines = pa.array([t for t, p in zip(texts, plain) if p], pa.large_string())
+        lines = pc.replace_substring(lines, "\n", " \n\n \n")
+        split = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), lines, pa.scalar("", pa.large_string())), " ")
+        counts = np.zeros(len(texts), np.int64)
+        counts[plain] = pc.list_value_length(split).to_numpy()
+        if plain.all():
+            return split.flatten(), counts
+        odd = [["\n" + x for x in CUT.split(t)] if t else [] for t, p in zip(texts, plain) if not p]
+        counts[~plain] = [len(x) for x in odd]
+        both = pa.concat_arrays([split.flatten(), pa.array([x for xs in odd for x in xs], pa.large_string())])
+        # pieces in the order of their texts
+        ends = np.cumsum(counts)
+        first = np.zeros(len(texts), np.int64)
+        first[plain] = np.cumsum(counts[plain]) - counts[plain]
+        first[~plain] = counts[plain].sum() + np.cumsum(counts[~plain]) - counts[~plain]
+        order = np.repeat(first - (ends - counts), counts) + np.arange(len(both))
+        return both.take(pa.array(order)), counts
+
+    def _literal(self, piece: str) -> str:
+        if self.split is self._dropping:
+            return piece
         return piece[1:] if piece[0] == "\n" else " " + piece
 
-    def _learn(self, new: list) -> None:
+    def _grow(self, name: str, size: int) -> None:
+        held = getattr(self, name)
+        if size > len(held):
+            setattr(self, name, np.resize(held, max(size, 2 * len(held))))
+
+    def _learn(self, new: list[str]) -> None:
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast([self._literal(p) for p in part], add_special_tokens=False)):
-                k, ids = len(self.index), e.ids
-                if k == len(self.start):
-                    self.start, self.count = np.resize(self.start, 2 * k), np.resize(self.count, 2 * k)
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.resize(self.ids, 2 * len(self.ids))
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.start[k], self.count[k] = self.used, len(ids)
-                self.used += len(ids)
-                self.index[piece] = k
+            # pieces are words of one input, so that there is one result for all of them
+            found = self.tokenizer.encode([self._literal(p) for p in part], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, np.uint32)
+            count = np.bincount(np.array(found.word_ids, np.int64), minlength=len(part))
+            k = len(self.index)
+            for name in ("start", "count", "uses"):
+                self._grow(name, k + len(part))
+            self._grow("ids", self.used + len(ids))
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.count[k : k + len(part)], self.uses[k : k + len(part)] = count, 0
+            self.start[k : k + len(part)] = self.used + np.cumsum(count) - count
+            self.used += len(ids)
+            self.index.update(zip(part, range(k, k + len(part))))
+
+    def _ids_of(self, at: np.ndarray) -> np.ndarray:
+        """The ids of pieces, one after the other."""
+        count = self.count[at]
+        ends = np.cumsum(count)
+        return self.ids[np.repeat(self.start[at] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def _forget(self) -> None:
+        n = len(self.index)
+        keep = np.sort(np.argsort(-self.uses[:n], kind="stable")[: PIECES // 2])
+        names = list(self.index)
+        ids, count = self._ids_of(keep), self.count[keep]
+        self.index = {names[k]: i for i, k in enumerate(keep)}
+        self.ids[: len(ids)], self.used = ids, len(ids)
+        self.uses[: len(keep)] = self.uses[keep] // 2
+        self.count[: len(keep)], self.start[: len(keep)] = count, np.cumsum(count) - count
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One array of ids (uint32) for each text."""
-        split = [self.split(t) for t in texts]
-        pieces = [p for s in split for p in s]
-        if not pieces:
+        pieces, counts = self.split(texts)
+        if not len(pieces):
             return [np.empty(0, np.uint32) for _ in texts]
+        coded = pieces.dictionary_encode()
+        words = coded.dictionary.to_pylist()
         if len(self.index) > PIECES:
-            self._clear()
-        self._learn([p for p in set(pieces) if p not in self.index])
-        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-        count = self.count[at]
-        ends = np.cumsum(count)
-        ids = self.ids[np.repeat(self.start[at] - (ends - count), count) + np.arange(ends[-1])]
-        per_text = np.cumsum([len(s) for s in split])
-        borders = np.append(0, ends)[per_text[:-1]]
-        return np.split(ids, borders)
+            self._forget()
+        self._learn([w for w in words if w not in self.index])
+        place = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        number = coded.indices.to_numpy()
+        self.uses[place] += np.bincount(number, minlength=len(words))
+        at = place[number]
+        ids = self._ids_of(at)
+        ends = np.append(0, np.cumsum(self.count[at]))
+        return np.split(ids, ends[np.cumsum(counts)[:-1]])
 
 
 def encoded(encoder: Encoder, texts: list[str | None]) -> Iterator[np.ndarray]:
