@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blocks_for, file_system, new_path, spread_files, total_bytes, written
+from .common import blocks_for, column, file_system, new_path, spread_files, total_bytes, written
 from .tokens import Encoder, finished
 
 MAGIC = b"ZTOKDOC1"
@@ -62,7 +62,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str, spaces: str, end: int) ->
             data = b""
         yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["dictionary"])
 
-    some = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select("text")
+    chosen = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    some = docs.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("text")  # only these texts move
     return bytes(max((r["dictionary"] for r in some.coalesce(1).mapInArrow(run, "dictionary binary").collect()), key=len, default=b""))
 
 
@@ -76,7 +77,7 @@ def write(
     """Write all documents; the list of files: path, n_docs, n_tokens, first_doc, last_doc, and
     base (tokens in all files before), in ascending order of ids."""
     spark = docs.sparkSession
-    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
+    rows = docs.select(column(docs, id_col).cast("bigint").alias("doc_id"), column(docs, text).cast("string").alias("text"))
     data = train_dictionary(rows, tokenizer, spaces, end)
     digest = hashlib.sha256(data).digest()
     folder = new_path(spark, "tokens")
