@@ -44,6 +44,8 @@ FIELDS = {
 }
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 LEAST_REVISIT = 1000
+#: Revisits of one payload are joined with it in so many parts.
+PARTS = 16
 ARCHIVE_BYTES = 16 << 20
 PAGE_HEADER = "X-Page-Id"
 
@@ -301,6 +303,14 @@ def read_warc(warcs: DataFrame) -> DataFrame:
 
     schema = "page_id bigint, url string, date string, record_id string, record_type string, payload_bytes bigint, payload_digest string, refers_to_id string"
     rows = written(spread_files(warcs.select("path")).mapInArrow(run, schema), "warc-records")
-    wanted = rows.where("refers_to_id is not null").select("refers_to_id").distinct()
-    targets = rows.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
-    return rows.join(targets.join(wanted, "refers_to_id", "left_semi"), "refers_to_id", "left").select(*names, "refers_to")
+    revisits = rows.where("refers_to_id is not null")
+    wanted = revisits.select(F.col("refers_to_id").alias("record_id")).distinct()  # a payload's revisits become one row
+    targets = rows.join(wanted, "record_id", "left_semi").select("record_id", F.col("page_id").alias("refers_to"))
+    # a payload that very many records revisit is joined by parts
+    part = F.pmod(F.xxhash64("page_id", "date"), F.lit(PARTS)).cast("int")
+    spread = targets.select(F.col("record_id").alias("target"), "refers_to", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("target_part"))
+    found = revisits.withColumn("part", part).join(
+        spread, (F.col("refers_to_id") == F.col("target")) & (F.col("part") == F.col("target_part")), "left"
+    )
+    others = rows.where("refers_to_id is null").withColumn("refers_to", F.lit(None).cast("bigint"))
+    return found.select(*names, "refers_to").unionByName(others.select(*names, "refers_to"))
