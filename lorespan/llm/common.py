@@ -5,7 +5,7 @@ from __future__ import annotations
 import posixpath
 import string
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +32,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def column(df: DataFrame, name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return df[quoted(name)]
+
+
+def carried(df: DataFrame, made: Iterable[str] = ()) -> tuple[Column, list[Column]]:
+    """All columns as one struct `doc`, and how to take them out again. An operator then has only
+    names of its own beside it. Columns it makes itself replace input columns of these names, in
+    whatever case; they are left out."""
+    made = {c.lower() for c in made}
+    names = [c for c in df.columns if c.lower() not in made]
+    fields = [column(df, c).alias(c) for c in names]
+    filler = "-" * (1 + max(map(len, names), default=0))  # a struct has at least one field
+    doc = F.struct(F.lit(0).alias(filler), *fields)
+    return doc.alias("doc"), [F.col("doc").getField(c).alias(c) for c in names]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind a value once for use in other lambdas; a plain reference would be evaluated
     again for each element."""

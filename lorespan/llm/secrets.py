@@ -2,9 +2,12 @@
 
 One pass over the texts finds candidates: assignments to credential names, access keys, long
 hex runs, and (added by the method) other long mixed tokens. Only their hashes leave the text.
-Each hash is then counted over distinct repositories and owners: a value that several owners
-share is a copied example; one that stays with few owners and looks random is live. Added
-tokens count as spans only when they are live; pattern matches are always reported.
+Each hash is then counted over distinct repositories and owners, and both counts decide. A value
+of several owners (EXAMPLE_OWNERS) is a copied example. One of fewer owners that looks random is
+live while it stays in few repositories; in many of them (REUSED_REPOS) it is reused: a setting or
+credential that its owner deals out widely, told apart because it is neither a single leak nor
+known to others. Added tokens count as spans only when they are live or reused; pattern matches
+are always reported. `mask` covers live and reused values.
 
 Defined results: null and empty texts hold nothing; every input row gives a row, repeated ones
 too; a null repository or owner counts as none; columns of the input other than the named ones
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import measured_bytes
-from .common import item, written
+from .common import carried, column, item, written
 from .decontam import merged
 
 # Fixed values of the base scan: kinds in their order, patterns, least lengths.
@@ -41,6 +44,8 @@ PLACEHOLDER = re.compile(r"example|sample|placeholder|changeme|dummy|your|xxxx|0
 LEAST_BITS = 2.8
 #: A value with so many distinct owners is an example that is copied around.
 EXAMPLE_OWNERS = 3
+#: A value of fewer owners in so many repositories is reused by its owner.
+REUSED_REPOS = 100
 
 BROADCAST_BYTES = 8 << 20
 SPAN = "array<struct<start:bigint,kind:int,stop:bigint,hash:binary,random:boolean>>"
@@ -72,7 +77,7 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
-def scan(docs: DataFrame, text: str, repo: str, owner: str) -> DataFrame:
+def scan(docs: DataFrame, key: str, text: str, repo: str, owner: str) -> DataFrame:
     """doc_key, repo, owner, counts by base kind, base_sha256, and the candidates of each text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,9 +111,8 @@ def scan(docs: DataFrame, text: str, repo: str, owner: str) -> DataFrame:
                 ["doc_key", "repo", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
             )
 
-    rows = docs.select(
-        F.col("__key").alias("doc_key"), docs[repo].cast("string").alias("repo"), docs[owner].cast("string").alias("owner"), docs[text].cast("string").alias("text")
-    )
+    named = {"repo": repo, "owner": owner, "text": text}
+    rows = docs.select(column(docs, key).alias("doc_key"), *[column(docs, c).cast("string").alias(n) for n, c in named.items()])
     schema = rows.schema["doc_key"].dataType.simpleString()
     return rows.mapInArrow(
         run,
@@ -133,50 +137,64 @@ def secrets(
     repo: str = "doc_id",
     owner: str = "source",
     example_owners: int = EXAMPLE_OWNERS,
+    reused_repos: int = REUSED_REPOS,
 ) -> DataFrame:
-    """Per document: the key, counts, base_sha256, `spans` (kind:start:end, comma-joined),
-    n_live, n_example, and `live` (start and end of each live span)."""
-    found = written(scan(docs.withColumn("__key", docs[key]), text, repo, owner), "secrets")
+    """Per document: the key, counts, base_sha256, `spans` (kind:start:end, comma-joined), `holders`
+    (repositories:owners of each span's value, likewise), n_live, n_reused, n_example, and `live`
+    (start and end of each live or reused span)."""
+    found = written(scan(docs, key, text, repo, owner), "secrets")
     counted = written(ownership(found), "ownership")
     plain = ["doc_key", "n_assign", "n_access", "n_hex", "base_sha256"]
     numbered = found.where(F.size("spans") > 0).withColumn("__row", F.monotonically_increasing_id())
     each = numbered.select(*plain, "__row", F.explode("spans").alias("s")).select(*plain, "__row", "s.*").join(counted, "hash", "left")
     example = F.col("n_owners") >= example_owners
-    live = F.col("random") & ~example
+    secret = F.col("random") & ~example
+    reused = secret & (F.col("n_repos") >= reused_repos)
     name = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
     one = F.struct(
-        "start", "kind", F.concat_ws(":", name, "start", "stop").alias("name"), live.alias("live"), example.alias("example"), "stop"
+        "start", "kind", F.concat_ws(":", name, "start", "stop").alias("name"), F.concat_ws(":", "n_repos", "n_owners").alias("held"),
+        secret.alias("secret"), reused.alias("reused"), example.alias("example"), "stop",
     )
-    rows = each.groupBy("__row").agg(*[F.first(c).alias(c) for c in plain], F.sort_array(F.collect_list(F.when((F.col("kind") < 3) | live, one))).alias("all"))
-    of_live = F.filter("all", lambda x: x["live"])
+    rows = each.groupBy("__row").agg(*[F.first(c).alias(c) for c in plain], F.sort_array(F.collect_list(F.when((F.col("kind") < 3) | secret, one))).alias("all"))
+    of_live = F.filter("all", lambda x: x["secret"])
+    number = lambda test: F.size(F.filter("all", test)).cast("bigint")
     empty = F.array().cast("array<struct<start:bigint,stop:bigint>>")
     rows = rows.select(
         *plain,
         F.array_join(F.col("all.name"), ",").alias("spans"),
-        F.size(of_live).cast("bigint").alias("n_live"),
-        F.size(F.filter("all", lambda x: x["example"])).cast("bigint").alias("n_example"),
+        F.array_join(F.col("all.held"), ",").alias("holders"),
+        number(lambda x: x["secret"] & ~x["reused"]).alias("n_live"),
+        number(lambda x: x["reused"]).alias("n_reused"),
+        number(lambda x: x["example"]).alias("n_example"),
         F.transform(of_live, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"))).alias("live"),
     )
     none = found.where(F.size("spans") == 0).select(
-        *plain, F.lit("").alias("spans"), F.lit(0).cast("bigint").alias("n_live"), F.lit(0).cast("bigint").alias("n_example"), empty.alias("live")
+        *plain, F.lit("").alias("spans"), F.lit("").alias("holders"),
+        *[F.lit(0).cast("bigint").alias(c) for c in ("n_live", "n_reused", "n_example")], empty.alias("live"),
     )
     return rows.unionByName(none).withColumnRenamed("doc_key", key)
 
 
-def mask(docs: DataFrame, key: str = "doc_id", text: str = "text", cover: str = "[SECRET]", **options) -> DataFrame:
-    """The documents with live secrets covered; all other texts, and copied examples, stay."""
-    ident = F.struct(docs[key].alias("key"), F.xxhash64(docs[text]).alias("hash"))
-    rows = docs.withColumn("__ident", F.to_json(ident))
-    found = secrets(rows, key="__ident", text=text, repo=options.pop("repo", key), **options)
-    live = found.where("n_live > 0").select(F.col("__ident").alias("__live_ident"), "live").dropDuplicates(["__live_ident"])
+def mask(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str | None = None, owner: str = "source",
+    cover: str = "[SECRET]", **options,
+) -> DataFrame:
+    """The documents with live and reused secrets covered; all other texts, and copied examples,
+    stay."""
+    doc, back = carried(docs)
+    named = {"key": key, "text": text, "repo": repo or key, "owner": owner}
+    rows = docs.select(doc, *[column(docs, c).alias(n) for n, c in named.items()])
+    rows = rows.withColumn("ident", F.to_json(F.struct("key", F.xxhash64("text").alias("hash"))))
+    found = secrets(rows, "ident", "text", "repo", "owner", **options)
+    live = found.where(F.size("live") > 0).select(F.col("ident").alias("live_ident"), "live").dropDuplicates(["live_ident"])
     live = written(live, "live")
     live = F.broadcast(live) if 4 * measured_bytes(live) <= BROADCAST_BYTES else live
-    joined = rows.join(live, F.col("__ident") == F.col("__live_ident"), "left")
+    joined = rows.join(live, F.col("ident") == F.col("live_ident"), "left")
     runs = merged(F.transform("live", lambda x: F.struct(x["start"].cast("int").alias("at"), (x["stop"] - x["start"]).cast("int").alias("size"))))
-    joined = joined.withColumn("__runs", F.when(F.col("live").isNotNull(), runs))
-    m, body = F.col("__runs"), F.col(f"`{text}`")
+    joined = joined.withColumn("runs", F.when(F.col("live").isNotNull(), runs))
+    m, body = F.col("runs"), F.col("text")
     begin = lambda i: F.coalesce(item(m, i - 1)["e"], F.lit(0))
     piece = lambda i: F.substring(body, begin(i) + 1, F.coalesce(item(m, i)["s"], F.length(body)) - begin(i))
     covered = F.array_join(F.transform(F.sequence(F.lit(0), F.size(m)), piece), cover)
     new = F.when(m.isNotNull(), covered).otherwise(body)
-    return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    return joined.select(*[new.alias(c) if c == text else b for c, b in zip(docs.columns, back)])
