@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import measured_bytes
-from .common import ascii_lower, item, let, positions, where_settled
+from .common import ascii_lower, carried, column, item, let, positions, where_settled
 
 NGRAM = 13
 ANCHOR = 3
@@ -134,30 +134,28 @@ def hits(
     """Per document, without its text: n_words, n_hit (words inside an occurrence), n_items,
     items, items_sha256 and `hit_spans` (first word and end of each run of hit words)."""
     known = Windows(items, item_id, item_text, n, set_rows)
-    made = {text, "n_words", "n_hit", "n_items", "items", "items_sha256", "hit_spans"}
-    names = [c for c in docs.columns if c not in made and not c.startswith("__")]
-    plain = [F.col(f"`{c}`") for c in names]
+    doc, back = carried(docs, [text, "n_words", "n_hit", "n_items", "items", "items_sha256", "hit_spans"])
     w = F.col("__w")
     rows = docs.select(
-        *[docs[c] for c in names], F.monotonically_increasing_id().alias("__row"), norm_words(docs[text]).alias("__w")
-    ).select(*plain, "__row", F.size(w).cast("bigint").alias("__n"), let(w, known.at).alias("__cut"))
-    rows = rows.select(*plain, "__row", "__n", F.explode_outer("__cut").alias("__c"))
-    rows = rows.select(*plain, "__row", "__n", *[F.col(f"__c.{c}").alias(f"__{c}") for c in ("at", "size", "win")])
+        doc, F.monotonically_increasing_id().alias("__row"), norm_words(column(docs, text)).alias("__w")
+    ).select("doc", "__row", F.size(w).cast("bigint").alias("__n"), let(w, known.at).alias("__cut"))
+    rows = rows.select("doc", "__row", "__n", F.explode_outer("__cut").alias("__c"))
+    rows = rows.select("doc", "__row", "__n", *[F.col(f"__c.{c}").alias(f"__{c}") for c in ("at", "size", "win")])
     t = known.table.select(F.col("size").alias("__s"), F.col("win").alias("__t"), F.col("items").alias("__items"))
     t = F.broadcast(t) if known.broadcast else t
     found = rows.join(t, (F.col("__size") == F.col("__s")) & (F.col("__win") == F.col("__t")), "left")
     one = F.struct(F.col("__at").alias("at"), F.col("__size").alias("size"), F.col("__items").alias("items"))
     grouped = found.groupBy("__row").agg(
-        *[F.first(c).alias(name) for c, name in zip(plain, names)],
+        F.first("doc").alias("doc"),
         F.first("__n").alias("n_words"),
         F.collect_list(F.when(F.col("__items").isNotNull(), one)).alias("__hits"),
     )
     all_items = F.array_sort(F.array_distinct(F.flatten(F.transform("__hits", lambda x: x["items"]))))
     out = grouped.select(
-        *plain, "n_words", merged(F.col("__hits")).alias("hit_spans"), all_items.alias("items")
+        "doc", "n_words", merged(F.col("__hits")).alias("hit_spans"), all_items.alias("items")
     )
     return out.select(
-        *plain,
+        *back,
         "n_words",
         covered(F.col("hit_spans")).alias("n_hit"),
         F.size("items").cast("bigint").alias("n_items"),
@@ -184,27 +182,27 @@ def with_hits(
     """`doc` (all columns of a document), n_words, n_hit and hit_spans. While the windows fit
     the tasks' sets nothing is shuffled and no text leaves its place."""
     known = Windows(items, item_id, item_text, n, set_rows)
-    doc = F.struct(*[docs[c] for c in docs.columns]).alias("doc")
+    doc = carried(docs)[0]
     if not known.in_scan:
-        packed = docs.select(doc, docs[text].alias("__text"))
+        packed = docs.select(doc, column(docs, text).alias("__text"))
         return hits(packed, items, "__text", item_id, item_text, n, set_rows).select(
             "doc", "n_words", "n_hit", "hit_spans"
         )
     w = F.col("__w")
-    rows = docs.select(doc, norm_words(docs[text]).alias("__w"))
+    rows = docs.select(doc, norm_words(column(docs, text)).alias("__w"))
     rows = rows.select("doc", F.size(w).cast("bigint").alias("n_words"), merged(let(w, known.at)).alias("hit_spans"))
     return rows.select("doc", "n_words", covered(F.col("hit_spans")).alias("n_hit"), "hit_spans")
 
 
 def remove_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    return where_settled(with_hits(docs, items, **options), ~contaminated()).select("doc.*")
+    return where_settled(with_hits(docs, items, **options), ~contaminated()).select(*carried(docs)[1])
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """All documents, with hit words and what lies between them taken out of the text; texts
     without hits are unchanged."""
-    body = F.col("doc")[text]
+    body = F.col("doc").getField(text)
     inside = lambda i: F.exists("hit_spans", lambda s: (i >= s["s"]) & (i < s["e"]))
     between = lambda i: F.exists("hit_spans", lambda s: (i > s["s"]) & (i < s["e"]))
     cut = let(
@@ -221,4 +219,5 @@ def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", **option
         ),
     )
     new = F.when(F.size("hit_spans") > 0, cut).otherwise(body)
-    return with_hits(docs, items, text=text, **options).select(F.col("doc").withField(text, new).alias("doc")).select("doc.*")
+    found = with_hits(docs, items, text=text, **options)
+    return found.select(*[new.alias(c) if c == text else back for c, back in zip(docs.columns, carried(docs)[1])])

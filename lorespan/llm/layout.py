@@ -27,6 +27,9 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import common
+from .common import carried
+
 DEPTH = 200
 WIDE = 80
 
@@ -393,9 +396,8 @@ def render(page: str | None) -> str:
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     """The other columns of each page with `text`, n_lines and n_chars (code points)."""
-    made = {column, "text", "n_lines", "n_chars"}
-    names = [c for c in pages.columns if c not in made and not c.startswith("__")]
-    rows = pages.select(pages[column].cast("string").alias("__page"), *[pages[c] for c in names])
+    doc, back = carried(pages, [column, "text", "n_lines", "n_chars"])
+    rows = pages.select(common.column(pages, column).cast("string").alias("page"), doc)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -404,9 +406,9 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
                 texts = [render(p.as_py()) for p in some.column(0)]
                 counts = [[t.count("\n") + 1 if t else 0 for t in texts], [len(t) for t in texts]]
                 yield pa.RecordBatch.from_arrays(
-                    [*some.columns[1:], pa.array(texts, pa.string()), *[pa.array(c, pa.int64()) for c in counts]],
-                    [*names, "text", "n_lines", "n_chars"],
+                    [some.column(1), pa.array(texts, pa.string()), *[pa.array(c, pa.int64()) for c in counts]],
+                    ["doc", "text", "n_lines", "n_chars"],
                 )
 
-    out = rows.drop("__page").schema.add("text", "string").add("n_lines", "long").add("n_chars", "long")
-    return rows.mapInArrow(run, out)
+    out = rows.select("doc").schema.add("text", "string").add("n_lines", "long").add("n_chars", "long")
+    return rows.mapInArrow(run, out).select(*back, "text", "n_lines", "n_chars")

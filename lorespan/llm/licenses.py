@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import measured_bytes
-from .common import item, let, positions, written
+from .common import carried, column, item, let, positions, written
 from .decontam import norm_words
 
 SHINGLE = 5
@@ -172,13 +172,11 @@ def scan(
     small = measured_bytes(known.select(known[license_text].cast("string"))) <= CUE_BYTES
     cues = cue_words([r["grams"] for r in table.select("grams").collect()], containment) if small else None
 
-    made = {text, "license", "n_shingles", "n_shared", "start_word", "n_words"}
-    names = [c for c in docs.columns if c not in made and not c.startswith("__")]
-    doc = F.struct(F.lit(0).alias("__none"), *[docs[c] for c in names]).alias("__doc")  # out of the way of names below
-    rows = docs.select(doc, F.monotonically_increasing_id().alias("__row"), docs[text].alias("__text"))
+    doc, back = carried(docs, [text, "license", "n_shingles", "n_shared", "start_word", "n_words"])
+    rows = docs.select(doc, F.monotonically_increasing_id().alias("__row"), column(docs, text).alias("__text"))
     if cues:  # words hold no character that a pattern gives a meaning
         rows = rows.where(F.col("__text").rlike("(?i)" + "|".join(sorted(cues))))
-    rows = rows.select("__doc", "__row", norm_words(F.col("__text")).alias("__w"))
+    rows = rows.select("doc", "__row", norm_words(F.col("__text")).alias("__w"))
 
     def windows(w: Column) -> Column:
         at = positions(F.size(w))
@@ -206,9 +204,9 @@ def scan(
 
     empty = "array<struct<k:int,cls:int,start:int,win:array<string>>>"
     found = let(F.col("__w"), windows) if classes else F.array().cast(empty)
-    cut = rows.select("__doc", "__row", F.explode(found).alias("x")).select("__doc", "__row", "x.*")
-    cut = cut.select("__doc", "__row", "k", "cls", "start", F.size("win").alias("n"), shingles(F.col("win"), F.col("k")).alias("held"))
-    keyed = cut.select("__doc", "__row", "k", "cls", "start", "n", "held", F.explode(band_keys(F.col("held"))).alias("band"))
+    cut = rows.select("doc", "__row", F.explode(found).alias("x")).select("doc", "__row", "x.*")
+    cut = cut.select("doc", "__row", "k", "cls", "start", F.size("win").alias("n"), shingles(F.col("win"), F.col("k")).alias("held"))
+    keyed = cut.select("doc", "__row", "k", "cls", "start", "n", "held", F.explode(band_keys(F.col("held"))).alias("band"))
 
     size = F.lit(0)
     for k, run in classes:
@@ -221,12 +219,12 @@ def scan(
     wanted = F.broadcast(wanted) if 4 * measured_bytes(flat) <= BROADCAST_BYTES else wanted
     met = keyed.join(wanted, (F.col("k") == F.col("tk")) & (F.col("cls") == F.col("tcls")) & (F.col("band") == F.col("tband")))
     exact = met.select(
-        "__doc", "__row", "license", "start", "n", "m", F.size(F.array_intersect("held", "grams")).cast("bigint").alias("shared")
+        "doc", "__row", "license", "start", "n", "m", F.size(F.array_intersect("held", "grams")).cast("bigint").alias("shared")
     ).where(100 * F.col("shared") >= containment * F.col("m"))
     best = F.max(F.struct("shared", (-F.col("start")).alias("at"), (-F.col("n")).alias("n"), (-F.col("m")).alias("m")))
-    told = exact.groupBy("__row", "license").agg(F.first("__doc").alias("__doc"), best.alias("b"))
+    told = exact.groupBy("__row", "license").agg(F.first("doc").alias("doc"), best.alias("b"))
     return told.select(
-        *[F.col("__doc")[c].alias(c) for c in names],
+        *back,
         "license",
         (-F.col("b.m")).alias("n_shingles"),
         F.col("b.shared").alias("n_shared"),

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_for, written
+from .common import blocks_for, column, written
 from .neardup import _M1, _M2, _mix, _WordHashes
 
 BLOCK_TOKENS = 1_000_000
@@ -122,7 +122,7 @@ def blocks(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 yield block.row(2 * (first + made) + odd)
                 made += 1
 
-    rows = docs.select(docs[id_col].cast("bigint"), docs[text].cast("string"))
+    rows = docs.select(column(docs, id_col).cast("bigint"), column(docs, text).cast("string"))
     return rows.mapInArrow(run, BLOCK_SCHEMA)
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import measured_bytes
-from .common import written
+from .common import carried, column, written
 
 BANDS, BINS_PER_BAND = 40, 5
 ATTEMPTS = 1024
@@ -132,7 +132,7 @@ def signatures(docs: DataFrame, k: int, id_col: str, text: str) -> DataFrame:
                 ["doc_id", "n_shingles", "set_key", "bands"],
             )
 
-    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
+    rows = docs.select(column(docs, id_col).cast("bigint").alias("doc_id"), column(docs, text).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>")
 
 
@@ -159,7 +159,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, similarity: int, id_col
         F.lit(0).alias("role"),
     )
     wanted = written(members.unionByName(hubs), "pairs")
-    texts = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text].cast("string").alias("text"))
+    texts = docs.select(column(docs, id_col).cast("bigint").alias("id"), column(docs, text).cast("string").alias("text"))
     dealt = (
         texts.join(_small(wanted), "id")
         .repartition("hub", "part")
@@ -343,7 +343,7 @@ def groups(
     label = _first_stars(members, docs, k, similarity, id_col, text)
     still = written(_open(_labelled(members, label)).select("rep").distinct(), "still")
     if not still.isEmpty():
-        texts = docs.select(docs[id_col].cast("bigint").alias("rep"), docs[text].cast("string").alias("text"))
+        texts = docs.select(column(docs, id_col).cast("bigint").alias("rep"), column(docs, text).cast("string").alias("text"))
         texts = texts.join(_small(still), "rep", "left_semi")
         rows_of_id = keyed.join(_small(still), F.col("doc_id") == F.col("rep"), "left_semi").groupBy("doc_id").count()
         if not rows_of_id.where("count > 1").isEmpty():
@@ -365,13 +365,14 @@ def groups(
 
 def dedup(docs: DataFrame, k: int = 5, similarity: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents less all but one of each group, with their own columns."""
-    found = written(groups(docs, k, similarity, id_col, text), "groups")
-    drop = found.where(~F.col("kept")).select(F.col("doc_id").alias("__drop")).distinct()
-    kept = docs.join(_small(drop), docs[id_col].cast("bigint") == F.col("__drop"), "left_anti")
-    again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
+    doc, back = carried(docs)
+    rows = docs.select(doc, column(docs, id_col).cast("bigint").alias("id"), column(docs, text).alias("text"))
+    found = written(groups(rows.select("id", "text"), k, similarity, "id", "text"), "groups")
+    drop = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    kept = rows.drop("text").join(_small(drop), F.col("id") == F.col("gone"), "left_anti")
+    again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
     again = written(again, "repeated")
     if again.isEmpty():
-        return kept
-    key = kept[id_col].cast("bigint")
-    once = kept.join(again, key == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return kept.join(again, key == F.col("__id"), "left_anti").unionByName(once)
+        return kept.select(*back)
+    once = kept.join(again, F.col("id") == F.col("again"), "left_semi").dropDuplicates(["id"])
+    return kept.join(again, F.col("id") == F.col("again"), "left_anti").unionByName(once).select(*back)

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import column
 from .tokens import Encoder, finished
 
 TIERS = (256, 512, 1024, 2048)
@@ -172,5 +173,5 @@ def pack(
         if groups := packer.rest():
             yield rows(groups, part, at)
 
-    out = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    out = docs.select(column(docs, id_col).cast("bigint").alias("doc_id"), column(docs, text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
     return out if with_ids else out.drop("ids")

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import item, let, positions, where_settled, words
+from .common import carried, column, item, let, positions, where_settled, words
 
 WINDOW = 3
 
@@ -47,6 +47,7 @@ class Policy:
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "has_letter")
+VERDICTS = ("fail_bits", "base_failed", "kept")
 
 
 def default_rules() -> list[Rule]:
@@ -99,13 +100,13 @@ def _repeat_words(w: Column) -> Column:
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Every measurement of MEASURES, beside the columns of the input."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    kept = [docs[c] for c in docs.columns if c not in MEASURES and not c.startswith("__")]
+    body = F.coalesce(column(docs, text), F.lit(""))
+    doc, back = carried(docs, [*MEASURES, *VERDICTS])
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    split = docs.select(*kept, body.alias("__body"), words(body).alias("__words"), lines.alias("__lines"))
-    w, body, lines = F.col("__words"), F.col("__body"), F.col("__lines")
+    split = docs.select(doc, body.alias("body"), words(body).alias("words"), lines.alias("lines"))
+    w, body, lines = F.col("words"), F.col("body"), F.col("lines")
     return split.select(
-        *[F.col(f"`{c}`") for c in split.columns if not c.startswith("__")],
+        *back,
         F.size(w).cast("bigint").alias("n_words"),
         F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
         (F.length(body) - F.length(F.regexp_replace(body, "[#*$%&|<>]", ""))).cast("bigint").alias("n_symbols"),
@@ -125,7 +126,7 @@ def ledger(docs: DataFrame, rules: Sequence[Rule] | None = None, text: str = "te
     bits = F.lit(0).cast("bigint")
     for r in rules:
         bits = bits.bitwiseOR(F.when(r.fails, F.lit(r.mask)).otherwise(F.lit(0)).cast("bigint"))
-    return measured.drop("fail_bits").withColumn("fail_bits", bits)
+    return measured.withColumn("fail_bits", bits)
 
 
 def passes(policy: Policy, rules: Sequence[Rule] | None = None, bits: str = "fail_bits") -> Column:
@@ -182,5 +183,6 @@ def judge(docs: DataFrame, policy: Policy = POLICIES[-1], text: str = "text") ->
 
 def accepted(docs: DataFrame, policy: Policy = POLICIES[-1], text: str = "text") -> DataFrame:
     """The documents that pass the policy, with their own columns."""
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[text].alias("text"))
-    return where_settled(judge(row, policy), F.col("kept")).select("doc.*")
+    doc, back = carried(docs)
+    row = docs.select(doc, column(docs, text).alias("text"))
+    return where_settled(judge(row, policy), F.col("kept")).select(*back)

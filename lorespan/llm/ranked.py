@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.topk import rank_hits
-from .common import total_bytes, written
+from .common import column, total_bytes, written
 
 AUTOMATON_BYTES = 2 << 20
 #: Scores and matches that a task holds at once.
@@ -197,8 +197,8 @@ def search(
 ) -> DataFrame:
     """item_id, rank, doc_id, score: the k best documents of each item with a score above 0."""
     spark = docs.sparkSession
-    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
-    asked = items.select(items[item_col].cast("bigint").alias("item_id"), items[item_text].cast("string").alias("text"))
+    rows = docs.select(column(docs, id_col).cast("bigint").alias("doc_id"), column(docs, text).cast("string").alias("text"))
+    asked = items.select(column(items, item_col).cast("bigint").alias("item_id"), column(items, item_text).cast("string").alias("text"))
     asked = asked.where("item_id is not null")
     automata = max(1, -(-total_bytes(asked, "text") // automaton_bytes))
     pairs = _terms_of(asked)

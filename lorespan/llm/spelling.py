@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, column, written
 
 LETTERS = "[A-Za-zÀ-ÿ]"
 LONGEST = 64
@@ -55,8 +55,8 @@ def vocabulary(
 ) -> DataFrame:
     """word, n. A run whose checksum (with its document's id) ``slip`` divides loses the letter the
     checksum names; words have at least ``shortest`` letters and ``least`` occurrences."""
-    long_runs = F.regexp_extract_all(docs[text].cast("string"), F.lit(f"{LETTERS}{{{shortest},}}"), F.lit(0))
-    rows = docs.select(F.coalesce(docs[id_col].cast("string"), F.lit("")).alias("id"), F.explode(long_runs).alias("run"))
+    long_runs = F.regexp_extract_all(column(docs, text).cast("string"), F.lit(f"{LETTERS}{{{shortest},}}"), F.lit(0))
+    rows = docs.select(F.coalesce(column(docs, id_col).cast("string"), F.lit("")).alias("id"), F.explode(long_runs).alias("run"))
     rows = rows.withColumn("run", _lower(F.col("run")))
     rows = rows.withColumn("sum", F.crc32(F.concat("id", F.lit(":"), "run").cast("binary")))
     place = (F.col("sum") % F.char_length("run")).cast("int")

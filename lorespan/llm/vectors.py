@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import column, written
 
 BITS = 6
 QUESTIONS_PER_GROUP = 8_192
@@ -54,7 +54,7 @@ def _valid(vector: Column) -> Column:
 
 def integers(df: DataFrame, id_col: str, vector: str, scale: int = 256) -> DataFrame:
     """id, n (components), q (the components as integers) of the rows that take part."""
-    rows = df.select(df[id_col].cast("bigint").alias("id"), df[vector].cast("array<double>").alias("v"))
+    rows = df.select(column(df, id_col).cast("bigint").alias("id"), column(df, vector).cast("array<double>").alias("v"))
     rows = rows.where(F.col("id").isNotNull() & _valid(F.col("v")))
     q = F.transform("v", lambda x: F.floor(x * scale).cast("int"))
     return rows.select("id", F.size("v").alias("n"), q.alias("q"))

@@ -60,6 +60,73 @@ def test_stages_keep_columns(spark, sf, stage):
         out.collect()
 
 
+ODD_NAMES = ["N_WORDS", "a.b", "__ident", "__live_ident", "__runs", "__drop", "__row", "__settled", "live", "License", "N_CHARS",
+             "doc", "gone", "key", "hub", "id", "HIT_SPANS", "Kept", "owner", "words", "a`b", "-"]
+TAKEN = {"N_WORDS", "N_CHARS", "License", "HIT_SPANS", "Kept"}  # columns that some operator makes
+
+
+def odd_table(spark):
+    rows = [(i, t, "en", f"o{i}", *range(len(ODD_NAMES))) for i, t in ((1, "password=Zx9Qw7Er5Ty3Ui1 " + "a b c d e f g " * 30), (2, None), (2, None), (3, LONG))]
+    names = ["doc_id", "text", "lang", "source", *ODD_NAMES]
+    kinds = ["bigint", "string", "string", "string"] + ["int"] * len(ODD_NAMES)
+    return spark.createDataFrame(rows, ", ".join(f"`{n.replace('`', '``')}` {k}" for n, k in zip(names, kinds)))
+
+
+@pytest.mark.parametrize("name", [n for n in RUNS if n != "packing"])
+def test_odd_names_neither_clash_nor_vanish(spark, name):
+    held = odd_table(spark)
+    out = RUNS[name](spark, held)
+    rows = out.collect()
+    assert len({c.lower() for c in out.columns}) == len(out.columns)
+    if name in ("quality", "licenses", "decontam", "layout"):  # these pass other columns through
+        assert set(held.columns) - TAKEN - {"text"} <= set(out.columns)
+        assert all(r["a.b"] == ODD_NAMES.index("a.b") and r["__ident"] == ODD_NAMES.index("__ident") for r in rows)
+    if name in ("dedup", "mask"):
+        assert out.columns == held.columns and all(r["-"] == ODD_NAMES.index("-") for r in rows)
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
+def test_stages_take_odd_names(spark, sf, stage):
+    held = odd_table(spark)
+    out = stage[1](spark, held, sf)
+    out.collect()
+    assert stage[0] == "packing" or out.columns == held.columns
+
+
+def test_near_documents_that_do_not_link_are_not_compared(spark, monkeypatch):
+    """Documents that share 70 % of their words: candidates stay in proportion to their number."""
+    counted, confirmed = [], neardup.confirmed
+    monkeypatch.setattr(neardup, "confirmed", lambda pairs, *a: counted.append(pairs.count()) or confirmed(pairs, *a))
+    texts = []
+    for i in range(120):
+        words = [f"b{j}" for j in range(200)]
+        cut = (i * 37) % 140
+        words[cut : cut + 60] = [f"x{i}_{j}" for j in range(60)]
+        texts.append((i, " ".join(words)))
+    texts += [(1000, texts[5][1].replace("b199", "other")), (1001, texts[5][1])]
+    rows = {r.doc_id: r.component_id for r in neardup.groups(docs(spark, texts)).collect()}
+    assert rows.pop(1000) == 5 and rows.pop(1001) == 5 and all(i == c for i, c in rows.items())
+    assert sum(counted) < 10 * len(texts)
+
+
+def test_chains_of_near_copies_are_one_group(spark):
+    """Each text links with the next only, so no hub meets all."""
+    texts = [(i, " ".join(f"w{j}" for j in range(8 * i, 8 * i + 100))) for i in range(40)]
+    texts += [(99, texts[3][1]), (99, texts[3][1])]
+    rows = {r.doc_id: r.component_id for r in neardup.groups(docs(spark, texts)).collect()}
+    assert set(rows.values()) == {0}
+
+
+def test_one_owner_with_many_repositories(spark):
+    value = "password=Zx9Qw7Er5Ty3Ui1"
+    rows = [(i, value, "owner") for i in range(secrets.REUSED_REPOS)] + [(1000, "token=Lk8Jh6Gf4Ds2Aq0", "owner")]
+    held = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = {r.doc_id: r for r in secrets.secrets(held).collect()}
+    assert (found[0].n_live, found[0].n_reused, found[0].holders) == (0, 1, f"{secrets.REUSED_REPOS}:1")
+    assert (found[1000].n_live, found[1000].n_reused, found[1000].holders) == (1, 0, "1:1")
+    assert all(r.text == "[SECRET]" for r in secrets.mask(held).collect())
+
+
 def test_archives_of_odd_pages(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "u", "é" * 600), (3, "v", "é" * 600), (4, "w", "")], "page_id bigint, url string, html string")
     rows = {r.page_id: r for r in archives.read_warc(archives.convert(archives.write_arc(pages))).collect()}

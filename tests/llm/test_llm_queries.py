@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 import check
 import corpus_pipeline
+from lorespan.llm import packing, secrets, tokenfiles, tokens
 from lorespan.llm.queries import ORACLES, QUERIES, tokenizer_path
 
 NO_SQL = {"op1_packing", "op4_layout_text", "op5_secrets", "op6_token_files", "op8_lm_scores", "op13_spelling_variants"}
@@ -39,7 +40,6 @@ def test_query_equals_sql(spark, sf, name):
 
 def token_ids(sf, file, end):
     tok = Tokenizer.from_file(tokenizer_path(file))
-    tok.encode_special_tokens = True
     return {
         i: np.array(tok.encode(t or "", add_special_tokens=False).ids + [end], "<u4")
         for i, t in table(sf, "documents", "doc_id, text")
@@ -71,6 +71,62 @@ def test_token_files_hold_every_document(spark, sf):
     assert at == sum(map(len, ids.values()))
 
 
+def test_a_document_is_read_from_its_file_alone(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.where("doc_id = 7"))  # one id twice
+    files = tokenfiles.write(docs, tokenizer_path("byte_bpe_50k.json")).collect()
+    ids = token_ids(sf, "byte_bpe_50k.json", 0)
+    for doc in (0, 7, 11):
+        held = [x for f in files if f.first_doc <= doc <= f.last_doc for x in tokenfiles.TokenFile(f.path).get(doc)]
+        assert len(held) == 1 + (doc == 7) and all(np.array_equal(x, ids[doc]) for x in held)
+    assert tokenfiles.TokenFile(files[0].path).get(10**12) == []
+
+
+def test_a_wrong_dictionary_is_noticed(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    path = tokenfiles.write(docs, tokenizer_path("byte_bpe_50k.json")).first().path
+    fs, name = tokenfiles.file_system(path)
+    digest = fs.open_input_file(name).read_at(32, 8).hex()
+    with fs.open_output_stream(f"{name.rpartition('/')[0]}/{digest}.dictionary") as out:
+        out.write(b"something else")
+    with pytest.raises(ValueError, match="dictionary"):
+        tokenfiles.TokenFile(path)
+
+
+BITS = ["<|endoftext|>", "<|startoftext|>", " ", "  ", "\n", "\n\n", "\t", " a", "é", "ß", "word", "12", "'s", "\xa0", "\u3000",
+        "\r\n", "x<|endoftext|>y", "日本", "😀", "\x1c", "\x85", ".", "A", "İ"]
+
+
+@pytest.mark.parametrize("file, spaces", [("word_bpe_49k.json", "drop"), ("byte_bpe_50k.json", "keep")])
+def test_pieces_give_the_ids_of_whole_texts(file, spaces, monkeypatch):
+    monkeypatch.setattr(tokens, "PIECES", 300)  # forgotten and learned again and again
+    draw = np.random.default_rng(5)
+    texts = ["".join(draw.choice(BITS, draw.integers(0, 12))) for _ in range(3000)]
+    whole, encoder = Tokenizer.from_file(tokenizer_path(file)), tokens.Encoder(tokenizer_path(file), spaces)
+    for i in range(0, len(texts), 100):
+        for text, ids in zip(texts[i : i + 100], encoder.encode(texts[i : i + 100])):
+            assert whole.encode(text, add_special_tokens=False).ids == ids.tolist(), text
+    assert len(encoder.index) < 1000
+
+
+def test_tiers_and_groups_of_packed_windows(spark):
+    words = [" ".join(["w"] * n) for n in (5, 100, 300, 700, 1500, 2500, 5000)] * 40
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id bigint, text string").coalesce(1)
+    rows = packing.pack(docs, tokenizer_path("word_bpe_49k.json")).collect()
+    filled, tier, group = Counter(), {}, {}
+    for r in rows:
+        filled[r.sequence_id] += r.length
+        assert tier.setdefault(r.sequence_id, r.tier) == r.tier and group.setdefault(r.sequence_id, r.step_group) == r.step_group
+        assert len(r.ids) == r.length
+    assert set(tier.values()) <= set(packing.TIERS) and len(set(tier.values())) > 1
+    last = max(group.values())
+    assert all(n == tier[s] for s, n in filled.items() if group[s] != last)  # full but for the last group
+    of_group = Counter()
+    for s, n in filled.items():
+        of_group[group[s]] += n
+    assert {n for g, n in of_group.items() if g != last} == {packing.UNITS_PER_GROUP * packing.TIERS[-1]}
+
+
 def base_spans(text):
     kinds = (
         ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
@@ -95,6 +151,44 @@ def test_secrets_hold_the_base(spark, sf):
         assert [x for x in r.spans.split(",") if x and not x.startswith("token:")] == base
 
 
+def secret_rows(docs):
+    """Brute force over (doc_id, text, owner): spans, holders, live, reused and example counts."""
+    held, owners, repos = [], {}, {}
+    for i, text, owner in docs:
+        found = [(m.start(), 0, m.end(), m[2]) for m in secrets.ASSIGN.finditer(text) if len(m[2]) >= 12]
+        found += [(m.start(), 1, m.end(), m[0]) for m in secrets.ACCESS.finditer(text) if len(m[0]) >= 18]
+        found += [(m.start(), 2, m.end(), m[0]) for m in re.finditer("[0-9a-f]{16,}", text)]
+        base = list(found)
+        for m in re.finditer(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,}", text):
+            mixed = all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]"))
+            if mixed and not any(s < m.end() and e > m.start() for s, _, e, _ in base):
+                found.append((m.start(), 3, m.end(), m[0]))
+        held.append((i, sorted(found)))
+        for *_, value in found:
+            owners.setdefault(value, set()).add(owner)
+            repos.setdefault(value, set()).add(i)
+    out = {}
+    for i, found in held:
+        spans, counts = [], Counter()
+        for s, k, e, v in found:
+            n, example = len(repos[v]), len(owners[v] - {None}) >= secrets.EXAMPLE_OWNERS
+            secret = not example and secrets.looks_random(v)
+            kind = "example" if example else "reused" if secret and n >= secrets.REUSED_REPOS else "live" if secret else "plain"
+            if k < 3 or secret:
+                spans.append((f"{secrets.KINDS[k]}:{s}:{e}", f"{n}:{len(owners[v] - {None})}"))
+                counts[kind] += 1
+        out[i] = (",".join(a for a, _ in spans), ",".join(b for _, b in spans), counts["live"], counts["reused"], counts["example"])
+    return out
+
+
+def test_secret_classes_equal_brute_force(spark, sf):
+    docs = [(i, t or "", o) for i, t, o in table(sf, "documents", "doc_id, text, source")]
+    rows = QUERIES["op5_secrets"](spark, sf).collect()
+    want = secret_rows(docs)
+    assert {r.doc_id: (r.spans, r.holders, r.n_live, r.n_reused, r.n_example) for r in rows} == want
+    assert sum(x[2] for x in want.values()) > 0
+
+
 def test_lm_base_and_held_out_score(spark, sf):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     tokens = {
