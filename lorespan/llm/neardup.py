@@ -13,7 +13,7 @@ rarest shingles. Two sets that link differ in few shingles; in any common order
 the first one they share therefore stands within a short prefix of both, and how far back it may
 stand follows from the sizes. The order is by frequency among the open documents, so that documents
 that share much, but too little to link, are kept apart by what each has of its own and meet
-nowhere. Members whose shingle stands early are hubs in turn (1, 2, 4, 8, ... at a time) until a
+nowhere. Members whose shingle stands early are hubs in turn (1, 8, 64, ... at a time) until a
 group is one component or all such members were hubs. Every pair that could link is met by that;
 with 40 bands of 5 bins a pair at similarity 0.8 shares no bucket with probability 1e-7.
 
@@ -43,6 +43,8 @@ ATTEMPTS = 1024
 BROADCAST_BYTES = 8 << 20
 #: Members of a hub that are compared in one group; more are split over several.
 MEMBERS_PER_GROUP = 500
+#: So many times more hubs in each round: rounds cost more than hubs, few of which meet a member.
+GROWTH = 8
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -319,7 +321,7 @@ def _later_stars(members: DataFrame, label: DataFrame | None, texts: DataFrame,
         if not pairs.isEmpty():
             links = written(confirmed(pairs.select("hub", "member"), texts, k, similarity, "rep", "text"), "links")
             label = written(_joined(links, pairs, label), "labels")
-        first, hubs = first + hubs, 2 * hubs
+        first, hubs = first + hubs, GROWTH * hubs
         if left.where(F.col("rank") >= first).isEmpty():
             return label
 
