@@ -1,120 +1,325 @@
 """Search by words: term counts weighted by inverse document frequency, compared by cosine.
 
-The corpus is moved once, by row id, as text; counting, weighting and norms then need no
-further shuffle of postings. Frequencies come by broadcast for the most frequent terms,
-whose number is bounded; the others, each of which holds a small share of the postings,
-come by a shuffled join.
+The index is a table of postings. Rows are gathered into blocks where they are read; a posting
+holds a term's rows in one block and their weights, already divided by the rows' norms, and the
+largest of these. Postings lie by term, so that questions read their own terms only. The texts are
+read once and never shuffled; what moves are counts.
+
+A search brings the postings of its terms together by block. The largest weights bound what any
+row of a block can score, and a block that cannot reach a question's k-th score so far is not
+scored for it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..session import broadcast_if_small, materialize
-from .search import COSINE_PLACES, QUESTIONS_PER_PASS, best_rows, each_pass, question_passes
-from .topk import QUESTIONS_PER_SLICE, rank_hits
+from ..session import BROADCAST_BYTES, broadcast_if_small, fits_broadcast, new_path
+from .search import COSINE_PLACES, QUESTIONS_PER_PASS, each_pass, question_passes
+from .topk import rank_hits
 
 WORD = r"[\pL\pN]+"
-HOT_TERMS = 500_000
-HOT_TERM_CHARS = 64
+_NOT_WORD = r"[^\pL\pN]+"
+#: A block ends after so many rows or characters.
+BLOCK_ROWS = 1_024
+BLOCK_CHARS = 16 << 20
+#: Folders of postings, by hash of the term.
+BUCKETS = 64
 HITS_TO_BROADCAST = 500_000
 
+_COUNTS = "block bigint, term string, places array<int>, counts array<int>, keys array<string>"
+_POSTINGS = "term string, block bigint, places array<int>, weights array<double>, most double"
+
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf: rows are placed by key first, so that the text is what moves and the
-    counts are made in place."""
-    placed = df.select(key, text).repartition(F.col(key))
-    return (
-        placed.select(key, F.explode(words(F.col(text))).alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+def idf(df: Column, total: int) -> Column:
+    return F.log((F.lit(total) + 1.0) / (df + 1.0)) + 1.0
 
 
-def vocabulary(df: DataFrame, text: str) -> DataFrame:
-    """term, df. Every row counts its own terms once where it is read; only partial counts
-    per term are shuffled."""
-    terms = df.select(F.explode(F.array_distinct(words(F.col(text)))).alias("term"))
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def idf(df: Column, total: int) -> Column:
-    return F.log((F.lit(total) + 1.0) / (df + 1.0)) + 1.0
+@dataclass(frozen=True)
+class Postings:
+    """A persisted index: ``postings`` (bucket, term, block, places, weights, most), ``vocabulary``
+    (term, df) and ``rows`` (block, keys), with the number of rows."""
+
+    spark: SparkSession
+    path: str
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
+    @property
+    def postings(self) -> DataFrame:
+        return self._read("postings", _POSTINGS + ", bucket int")
+
+    @property
+    def vocabulary(self) -> DataFrame:
+        return self._read("vocabulary", "term string, df bigint")
+
+    @property
+    def rows(self) -> DataFrame:
+        return self._read("counts", _COUNTS).filter("term is null").select("block", "keys")
+
+    def total(self) -> int:
+        return self.rows.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    keys, texts, chars = [], [], 0
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keys.append(key)
+            texts.append(text or "")
+            chars += len(texts[-1])
+            if len(keys) == BLOCK_ROWS or chars >= BLOCK_CHARS:
+                yield keys, texts
+                keys, texts, chars = [], [], 0
+    if keys:
+        yield keys, texts
+
+
+def _runs(sorted_numbers: np.ndarray, count: int) -> np.ndarray:
+    """Where each of the numbers 0 .. count-1 begins."""
+    return np.searchsorted(sorted_numbers, np.arange(count + 1))
+
+
+def _lists(values: np.ndarray, begin: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(values, kind))
+
+
+def count_terms(chunks: DataFrame, key: str, text: str) -> DataFrame:
+    """block, term, places, counts: the rows of a block (by place) that hold a term, and how often;
+    and one row per block without a term, with the keys of its rows in order."""
+    names = [part.split()[0] for part in _COUNTS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        for keys, texts in _blocks(batches):
+            order = sorted(range(len(keys)), key=keys.__getitem__)
+            block, number = (part << 33) + number, number + 1
+            split = pc.split_pattern_regex(pa.array([texts[i] for i in order], pa.large_string()), _NOT_WORD)
+            flat = split.flatten()
+            filled = pc.not_equal(flat, "")
+            coded = flat.filter(filled).dictionary_encode()
+            place = np.repeat(np.arange(len(keys)), pc.list_value_length(split).to_numpy())
+            place = place[filled.to_numpy(zero_copy_only=False)]
+            cell, count = np.unique(coded.indices.to_numpy().astype(np.int64) * len(keys) + place, return_counts=True)
+            terms = coded.dictionary.cast(pa.string())
+            begin = _runs(cell // len(keys), len(terms))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(terms), block)),
+                    terms,
+                    _lists(cell % len(keys), begin, pa.int32()),
+                    _lists(count, begin, pa.int32()),
+                    pa.nulls(len(terms), pa.list_(pa.string())),
+                ],
+                names,
+            )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block]), pa.nulls(1, pa.string()), *[pa.nulls(1, pa.list_(pa.int32()))] * 2,
+                 pa.array([[keys[i] for i in order]], pa.list_(pa.string()))],
+                names,
+            )
+
+    return chunks.select(F.col(key).cast("string"), F.lower(text)).mapInArrow(run, _COUNTS)
+
 
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Rows that come sorted by their first column, block by block."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for batch in batches:
+        block = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1), len(block)]
+        for begin, end in zip(cuts, cuts[1:]):
+            if begin == end:
+                continue
+            if held and block[begin] != at:
+                yield at, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            at = block[begin]
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield at, pa.Table.from_batches(held).combine_chunks()
 
-def hot_terms(vocab: DataFrame, limit: int = HOT_TERMS) -> DataFrame:
-    """The most frequent terms of bounded length: at most ``limit`` rows, so any other term of
-    such length holds less than one part in ``limit`` of the postings."""
-    short = vocab.filter(F.length("term") <= HOT_TERM_CHARS)
-    return short.orderBy(F.desc("df"), "term").limit(limit)
 
+def _flat(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).combine_chunks().flatten().to_numpy()
 
-def _question_vectors(counts: DataFrame, vocab: DataFrame, total: int) -> DataFrame:
-    """query_id, term, idf, weight of unit length; a term that no row has counts with df 0."""
-    terms = counts.select("term").distinct()
-    known = vocab.join(broadcast_if_small(terms), "term", "left_semi")
-    weighted = (
-        counts.join(known, "term", "left")
-        .withColumn("idf", idf(F.coalesce(F.col("df"), F.lit(0)), total))
-        .withColumn("weight", F.col("tf") * F.col("idf"))
+
+def weighted(counted: DataFrame) -> DataFrame:
+    """Postings from (block, term, idf, places, counts): each row's weights divided by its norm. The
+    rows of a block come together; a block is of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, table in _by_block(batches):
+            places = _flat(table, "places")
+            size = pc.list_value_length(table.column("places").combine_chunks()).to_numpy()
+            weight = _flat(table, "counts") * np.repeat(table.column("idf").to_numpy(), size)
+            norm = np.sqrt(np.bincount(places, weight**2))
+            weight = weight / norm[places]
+            begin = np.append(0, np.cumsum(size))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    table.column("term").combine_chunks(),
+                    pa.array(np.full(len(table), block)),
+                    _lists(places, begin, pa.int32()),
+                    _lists(weight, begin, pa.float64()),
+                    pa.array(np.maximum.reduceat(weight, begin[:-1])),
+                ],
+                ["term", "block", "places", "weights", "most"],
+            )
+
+    dealt = counted.select("block", "term", "idf", "places", "counts").repartition("block").sortWithinPartitions("block")
+    return dealt.mapInArrow(run, _POSTINGS)
+
+
+def build_postings(
+    chunks: DataFrame, path: str, key: str = "chunk_key", text: str = "text", broadcast_limit: int = BROADCAST_BYTES
+) -> Postings:
+    """Write the index of a table. ``key`` must be unique (``with_chunk_key`` makes one). Frequencies
+    go to the counts by broadcast while the vocabulary has at most ``broadcast_limit`` bytes."""
+    spark = chunks.sparkSession
+    index = Postings(spark, path)
+    count_terms(chunks, key, text).write.mode("overwrite").parquet(f"{path}/counts")
+    counts = spark.read.schema(_COUNTS).parquet(f"{path}/counts").filter("term is not null").drop("keys")
+    df = counts.groupBy("term").agg(F.sum(F.size("places")).alias("df"))
+    df.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    known = index.vocabulary.select("term", idf(F.col("df"), index.total()).alias("idf"))
+    known = F.broadcast(known) if fits_broadcast(known, broadcast_limit) else known
+    rows = weighted(counts.join(known, "term")).withColumn("bucket", bucket_of(F.col("term")))
+    (
+        rows.repartitionByRange("bucket", "term", "block")
+        .sortWithinPartitions("bucket", "term", "block")
+        .write.mode("overwrite")
+        .partitionBy("bucket")
+        .parquet(f"{path}/postings")
+    )
+    return index
+
+
+def _question_vectors(questions: DataFrame, vocabulary: DataFrame, total: int) -> DataFrame:
+    """query_id, term, weight of unit length; a term that no row has counts with df 0."""
+    counts = (
+        questions.select("query_id", F.explode(words(F.col("question"))).alias("term"))
+        .groupBy("query_id", "term")
+        .agg(F.count(F.lit(1)).alias("tf"))
     )
-    norms = weighted.groupBy("query_id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
-    return weighted.join(norms, "query_id").select(
-        "query_id", "term", "idf", (F.col("weight") / F.col("norm")).alias("weight")
+    known = vocabulary.join(broadcast_if_small(counts.select("term").distinct()), "term", "left_semi")
+    vectors = counts.join(known, "term", "left").withColumn(
+        "weight", F.col("tf") * idf(F.coalesce(F.col("df"), F.lit(0)), total)
     )
+    norms = vectors.groupBy("query_id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
+    return vectors.join(norms, "query_id").select("query_id", "term", (F.col("weight") / F.col("norm")).alias("weight"))
 
 
-class _LexicalQuestions:
-    """Question weights by term, as sparse rows for each slice of questions."""
+class _Asked:
+    """Weights of a bounded set of questions, by term."""
 
-    def __init__(self, table: pa.Table, top_k: int):
+    def __init__(self, table: pa.Table):
         ids, terms = (table.column(c).combine_chunks() for c in ("query_id", "term"))
         self.ids, self.terms = ids.unique(), terms.unique()
-        self.limits = np.full(len(self.ids), top_k, dtype=np.int64)
         term = pc.index_in(terms, self.terms).to_numpy()
-        question = pc.index_in(ids, self.ids).to_numpy()
-        weight = table.column("weight").to_numpy()
-        self.slices = {}
-        for first in range(0, len(self.ids), QUESTIONS_PER_SLICE):
-            inside = (question >= first) & (question < first + QUESTIONS_PER_SLICE)
-            order = np.argsort(term[inside], kind="stable")
-            counts = np.bincount(term[inside], minlength=len(self.terms))
-            self.slices[first] = (
-                np.concatenate([[0], np.cumsum(counts)]),
-                question[inside][order] - first,
-                weight[inside][order],
-            )
+        order = np.argsort(term, kind="stable")
+        self.begin = _runs(term[order], len(self.terms))
+        self.question = pc.index_in(ids, self.ids).to_numpy()[order]
+        self.weight = table.column("weight").to_numpy()[order]
+
+    def of(self, term: int) -> tuple[np.ndarray, np.ndarray]:
+        some = slice(self.begin[term], self.begin[term + 1])
+        return self.question[some], self.weight[some]
+
+
+class _BlockHits:
+    """The k best rows of a block for each question, and each question's k-th score so far."""
 
+    def __init__(self, asked: _Asked, k: int):
+        self.asked, self.k = asked, k
+        self.best = np.zeros((len(asked.ids), k))  # ascending
 
-def _sparse_scorer(questions: _LexicalQuestions):
-    def score(rows: pa.Table, first: int, count: int) -> np.ndarray:
-        begin, asked, asked_weight = questions.slices[first]
-        column = rows.column("terms").combine_chunks()
-        entries = column.flatten()
-        place = entries.field("place").to_numpy()
-        weight = entries.field("weight").to_numpy()
-        row = np.repeat(np.arange(len(rows)), pc.list_value_length(column).to_numpy())
-        # every entry meets the questions that hold its term
-        meets = begin[place + 1] - begin[place]
-        skipped = np.cumsum(meets) - meets
-        match = np.arange(meets.sum()) + np.repeat(begin[place] - skipped, meets)
-        cell = np.repeat(row, meets) * count + asked[match]
-        products = np.repeat(weight, meets) * asked_weight[match]
-        dots = np.bincount(cell, products, minlength=len(rows) * count).reshape(len(rows), count)
-        norm = rows.column("norm").to_numpy()[:, None]
-        # weights are positive, so a zero means that no word is shared
-        return np.where(dots > 0, np.round(dots / norm, COSINE_PLACES), -np.inf)
-
-    return score
+    def score(self, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """question, place, cosine of rows that may be among the best."""
+        terms, most = table.column("place").to_numpy(), table.column("most").to_numpy()
+        met = [self.asked.of(t) for t in terms]
+        bound = np.zeros(len(self.best))
+        for (question, weight), top in zip(met, most):
+            bound[question] += weight * top
+        floor = self.best[:, 0]
+        active = (bound > 0) & (bound >= floor - 2.0**-20)
+        if not active.any():
+            return None
+        row = np.cumsum(active) - 1
+        places = table.column("places").combine_chunks()
+        begin = np.append(0, np.cumsum(pc.list_value_length(places).to_numpy()))
+        flat, weights = places.flatten().to_numpy(), _flat(table, "weights")
+        dots = np.zeros((int(active.sum()), int(flat.max()) + 1))
+        for i, (question, weight) in enumerate(met):
+            wanted = active[question]
+            some = slice(begin[i], begin[i + 1])
+            dots[row[question[wanted]][:, None], flat[some]] += weight[wanted][:, None] * weights[some]
+        cosine = np.round(dots, COSINE_PLACES)
+        numbers = np.flatnonzero(active)
+        at, place = np.nonzero((dots > 0) & (cosine >= floor[numbers][:, None]))
+        score = cosine[at, place]
+        order = np.lexsort((place, -score, at))
+        at, place, score = at[order], place[order], score[order]
+        keep = np.arange(len(at)) - np.searchsorted(at, at, "left") < self.k  # rows of a block are in key order
+        at, place, score = at[keep], place[keep], score[keep]
+        for a in np.unique(at):
+            both = np.concatenate([self.best[numbers[a]], score[at == a]])
+            self.best[numbers[a]] = np.sort(both)[-self.k :]
+        return numbers[at], place, score
+
+
+def search_postings(index: Postings, questions: DataFrame, top_k: int = V.TOP_K, key: str = "chunk_key") -> DataFrame:
+    """query_id, rank, key, cosine, score: rows that share at least one word with the question."""
+    spark, total = index.spark, index.total()
+    ask = questions.select("query_id", "question")
+    query_type = ask.schema["query_id"].dataType.simpleString()
+
+    def run(part: DataFrame) -> DataFrame:
+        asked = _Asked(_question_vectors(part, index.vocabulary, total).toArrow())
+        wanted = spark.createDataFrame(pa.table({"term": asked.terms, "place": pa.array(range(len(asked.terms)), pa.int32())}))
+        buckets = [r[0] for r in wanted.select(bucket_of(F.col("term")).alias("b")).distinct().collect()]
+        own = index.postings.filter(F.col("bucket").isin(buckets)).join(F.broadcast(wanted), "term")
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hits, found = _BlockHits(asked, top_k), []
+            for block, table in _by_block(batches):
+                if (scored := hits.score(table)) is not None:
+                    found.append((block, *scored))
+            for block, question, place, cosine in found:
+                still = cosine >= hits.best[question, 0]
+                if still.any():
+                    yield pa.RecordBatch.from_arrays(
+                        [asked.ids.take(pa.array(question[still])), pa.array(np.full(int(still.sum()), block)),
+                         pa.array(place[still].astype(np.int32)), pa.array(cosine[still])],
+                        ["query_id", "block", "place", "cosine"],
+                    )
+
+        dealt = own.select("block", "place", "places", "weights", "most").repartition("block").sortWithinPartitions("block")
+        scored = dealt.mapInArrow(score, f"query_id {query_type}, block bigint, place int, cosine double")
+        named = scored.join(index.rows, "block").withColumn(key, F.get("keys", F.col("place")))
+        return rank_hits(named.select("query_id", key, "cosine"), top_k, score="cosine", ties=(key,))
+
+    hits = each_pass(question_passes(ask, F.octet_length("question"), 8), run)
+    return hits.withColumn("score", F.round(F.col("cosine"), 4))
 
 
 def lexical_search(
@@ -124,65 +329,16 @@ def lexical_search(
     key: str = "chunk_key",
     text: str = "text",
     payload: list[str] | None = None,
-    hot_limit: int = HOT_TERMS,
+    broadcast_limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """query_id, rank, key, score: rows that share at least one word with the question.
-
-    ``questions`` has query_id and question. ``key`` must be unique in ``chunks``
-    (``with_chunk_key`` makes one).
-    """
-    counts = term_counts(chunks, key, text)
-    vocab = materialize(vocabulary(chunks, text))
-    total = chunks.select(key).count()
-    size = vocab.count()
-    hot = vocab if size <= hot_limit else hot_terms(vocab, hot_limit)
-    hot_idf = F.broadcast(hot.select("term", idf(F.col("df"), total).alias("idf")))
-    ask = questions.select("query_id", "question")
+    """Search a table that has no index yet: build one in the shared folder and ask it.
+    ``questions`` has query_id and question."""
+    index = build_postings(chunks, new_path(chunks.sparkSession, "postings"), key, text, broadcast_limit)
+    hits = search_postings(index, questions, top_k, key)
+    return with_payload(hits, chunks, key, top_k, payload) if payload else hits
 
-    def run(part: DataFrame) -> DataFrame:
-        asked = term_counts(part, "query_id", "question")
-        table = _question_vectors(asked, vocab, total).toArrow()
-        held = _LexicalQuestions(table, top_k)
-        spark = chunks.sparkSession
-        wanted = spark.createDataFrame(
-            pa.table({
-                "term": held.terms,
-                "place": pa.array(range(len(held.terms)), pa.int32()),
-            })
-        )
-        own = counts.join(F.broadcast(wanted), "term", "left").join(hot_idf, "term", "left")
-        weight = F.col("tf") * F.col("idf")
-        entry = F.when(
-            F.col("place").isNotNull(), F.struct("place", weight.alias("weight"))
-        )
-        if size <= hot_limit:
-            weighted = own.select(key, weight.alias("weight"), entry.alias("entry"))
-        else:
-            frequent = own.filter(F.col("idf").isNotNull())
-            rare_idf = vocab.join(F.broadcast(hot.select("term")), "term", "left_anti").select(
-                "term", idf(F.col("df"), total).alias("idf")
-            )
-            rare = own.filter(F.col("idf").isNull()).drop("idf").join(rare_idf, "term")
-            weighted = frequent.unionByName(rare.select(*frequent.columns)).select(
-                key, weight.alias("weight"), entry.alias("entry")
-            )
-        vectors = (
-            weighted.groupBy(key)
-            .agg(
-                F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"),
-                F.collect_list("entry").alias("terms"),
-            )
-            .filter(F.size("terms") > 0)
-        )
-        scored = best_rows(
-            vectors, held, _sparse_scorer(held), [key], (key,), part.schema["query_id"].dataType
-        )
-        return rank_hits(scored, top_k, score="cosine", ties=(key,)).drop("k")
-
-    parts = question_passes(ask, F.octet_length("question"), 8)
-    hits = each_pass(parts, run)
-    hits = hits.withColumn("score", F.round(F.col("cosine"), 4))
-    if not payload:
-        return hits
-    few = QUESTIONS_PER_PASS * top_k <= HITS_TO_BROADCAST and len(parts) == 1
+
+def with_payload(hits: DataFrame, chunks: DataFrame, key: str, top_k: int, payload: list[str]) -> DataFrame:
+    """Hits with columns of their rows."""
+    few = QUESTIONS_PER_PASS * top_k <= HITS_TO_BROADCAST
     return chunks.select(key, *payload).join(F.broadcast(hits) if few else hits, key)

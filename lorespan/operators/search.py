@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..functions import values as V
-from ..session import materialize
+from ..session import BROADCAST_BYTES, materialize, materialize_measured
 from .topk import QUESTIONS_PER_SLICE, ROWS_PER_SLICE, BestRows, rank_hits
 
 QUESTIONS_PER_PASS = 8192
@@ -84,17 +84,21 @@ class Questions:
 
 def question_passes(questions: DataFrame, width: Column, bytes_per_unit: int) -> list[DataFrame]:
     """Split questions so that each part fits the bound of one pass over the rows. ``width`` is
-    measured on the widest question."""
+    measured on the widest question. Parts are ranges of a hash, cut where the questions' hashes
+    say, so that all are of a size and no pass is spent on half a part."""
     size = questions.agg(F.count(F.lit(1)).alias("n"), F.max(width).alias("widest")).first()
     count, width_bytes = size["n"], bytes_per_unit * (size["widest"] or 1)
     per_pass = max(1, min(QUESTIONS_PER_PASS, QUESTION_BYTES_PER_PASS // max(1, width_bytes)))
-    passes = -(-count // per_pass)
-    if passes <= 1:
+    if count <= per_pass:
         return [questions]
-    # twice as many parts as needed: parts by hash differ in size
-    parts = 2 * passes
-    part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-    return [questions.filter(part == i) for i in range(parts)]
+    passes = -(-count // max(1, per_pass - per_pass // 50))  # the cuts are right to a hundredth of that
+    at = F.xxhash64("query_id")
+    cuts = questions.agg(F.percentile_approx(at, [i / passes for i in range(1, passes)], 1_000_000).alias("c")).first()["c"]
+    ends = zip([None, *cuts], [*cuts, None])
+    return [
+        questions.filter((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high))
+        for low, high in ends
+    ]
 
 
 def each_pass(parts: list[DataFrame], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -221,9 +225,9 @@ def search(
     """Hits of a chunk table: query_id, rank, id, score, metadata, and the full text if asked.
 
     ``filter_mode='post'`` ranks first and filters afterwards, so that fewer than k hits
-    may remain.
+    may remain. Full texts are fetched for the hits alone.
     """
-    payload = ["id", *PAYLOAD, *(["text"] if full else [])]
+    payload = ["id", *PAYLOAD]
     ties = ("id", "source_file")
     if filter_mode == "pre":
         hits = nearest(chunks, questions, top_k, after, path_filter, payload=payload, ties=ties)
@@ -233,8 +237,14 @@ def search(
         )
     else:
         raise ValueError(f"unknown filter_mode {filter_mode!r}")
-    text = F.col("text") if full else F.lit(None).cast("string")
-    return hits.select("query_id", "rank", "id", "score", *PAYLOAD, text.alias("full_text"))
+    shown = ["query_id", "rank", "id", "score", *PAYLOAD]
+    if not full:
+        return hits.select(*shown, F.lit(None).cast("string").alias("full_text"))
+    hits, _, size = materialize_measured(hits.select(*shown), "hits")
+    texts = chunks.select(F.col("id").alias("_id"), F.col("source_file").alias("_file"), F.col("text").alias("full_text"))
+    found = F.broadcast(hits) if size <= BROADCAST_BYTES else hits
+    joined = texts.join(found, (F.col("_id") == F.col("id")) & (F.col("_file") == F.col("source_file")))
+    return joined.dropDuplicates(["query_id", "rank"]).select(*shown, "full_text")
 
 
 def post_filter(

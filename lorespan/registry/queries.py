@@ -804,9 +804,49 @@ def v4_all(spark, sf_dir):
     return ivf_hits(spark, sf_dir, N_LISTS)
 
 
-@query("v4_ivf_half_of_lists")
+@query("v4_ivf_half_of_lists", f"""with hits as ({EXACT}) select (select count(distinct query_id) from hits) as questions,
+    (select count(*) from hits) as hits, true as most_found""")
 def v4_half(spark, sf_dir):
-    return ivf_hits(spark, sf_dir, N_LISTS // 2)
+    """Half of the lists: how many hits, and whether they are most of the exact ones."""
+    some = materialize(ivf_hits(spark, sf_dir, N_LISTS // 2))
+    rows = D.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    exact = SE.nearest(rows, D.label_questions(spark, sf_dir), payload=["vec_id"], ties=("vec_id",))
+    found = ivf.recall(some, exact, "vec_id").scalar()
+    return some.agg(
+        F.count_distinct("query_id").alias("questions"), F.count(F.lit(1)).alias("hits"), (F.first(found) >= 0.6).alias("most_found")
+    )
+
+
+def quantized(rows, spark, n_lists: int) -> tuple[DataFrame, ivf.Quantizer]:
+    """Rows written with their lists and codes."""
+    quantizer = ivf.train_quantizer(rows, n_lists)
+    path = D.scratch(spark, "quantized")
+    ivf.write_ivf(ivf.build_quantized(rows, quantizer), path)
+    return spark.read.parquet(path), quantizer
+
+
+@query("v4_quantised_all_lists", EXACT)
+def v4_codes(spark, sf_dir):
+    """All lists, and every row among those compared by their vectors: the exact hits."""
+    rows = D.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    indexed, quantizer = quantized(rows, spark, N_LISTS)
+    hits = ivf.search_quantized(
+        indexed, D.label_questions(spark, sf_dir), quantizer, N_LISTS, refine=rows.count(), key="vec_id"
+    )
+    return hits.select("query_id", "rank", "vec_id", "score")
+
+
+@query("v4_quantised_recall", "select (select count(*) from benchmark) as questions, true as reached")
+def v4_recall(spark, sf_dir):
+    """Codes of a fifth of the lists at most find nine of ten exact hits among the chunks."""
+    chunks = CK.with_chunk_key(materialize(embed(chunk_table(spark, sf_dir), "text", HashEmbedder(DIM))))
+    rows = chunks.select("chunk_key", "embedding")
+    questions = materialize(embed(D.text_questions(spark, sf_dir), "question", HashEmbedder(DIM)))
+    indexed, quantizer = quantized(rows, spark, 64)
+    some = ivf.search_quantized(indexed, questions, quantizer, 64 // 5, key="chunk_key")
+    exact = SE.nearest(rows, questions, payload=["chunk_key"], ties=("chunk_key",))
+    found = ivf.recall(some, exact, "chunk_key").scalar()
+    return questions.agg(F.count(F.lit(1)).alias("questions"), (F.first(found) >= 0.9).alias("reached"))
 
 
 LEXICAL = f"""
@@ -843,7 +883,7 @@ def v5_split(spark, sf_dir):
     """The same with a small bound on what may be broadcast."""
     hits = lexical.lexical_search(
         CK.with_chunk_key(chunk_table(spark, sf_dir)), D.text_questions(spark, sf_dir),
-        payload=["id", "source_file", "section"], hot_limit=100,
+        payload=["id", "source_file", "section"], broadcast_limit=0,
     )
     return hits.select("query_id", "rank", "id", "score", "source_file", "section")
 

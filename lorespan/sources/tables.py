@@ -9,18 +9,6 @@ from ..functions import scalars as S
 from ..session import BROADCAST_BYTES, materialize_measured
 
 
-SPLIT_BYTES = 128 * 1024 * 1024
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread an input that is too small to give every core a split of its own (a single
-    row group, say) over all cores. Larger inputs are left where they are read."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores, key) if size < cores * SPLIT_BYTES else df
-
-
 def corpus_from_table(
     df: DataFrame, key: str = "relpath", text: str = "text", mtime: str = "mtime"
 ) -> DataFrame:

@@ -414,8 +414,9 @@ def lexical_brute(docs, asked, k):
     return {q: h for q, h in out.items() if h}
 
 
-@pytest.mark.parametrize("hot_limit", [3, 1000])
-def test_lexical_search_against_brute_force(spark, hot_limit):
+@pytest.mark.parametrize("limit, rows_of_block", [(0, 1), (1 << 20, 1024), (1 << 20, 7)])
+def test_lexical_search_against_brute_force(spark, limit, rows_of_block, monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK_ROWS", rows_of_block)
     rng = np.random.default_rng(5)
     vocabulary = [f"w{i}" for i in range(60)] + ["x" * 80]
     docs = {f"d{i:03d}": " ".join(rng.choice(vocabulary[: 5 + i % 56], size=1 + i % 12)) for i in range(150)}
@@ -423,10 +424,52 @@ def test_lexical_search_against_brute_force(spark, hot_limit):
     asked = {1: "w1 w5 W7 unknown", 2: "nothing matches", 3: "copy the w40", 4: "x" * 80}
     rows = spark.createDataFrame(list(docs.items()), "chunk_key string, text string").repartition(4)
     ask = spark.createDataFrame(list(asked.items()), "query_id bigint, question string")
-    hits = lexical.lexical_search(rows, ask, 7, hot_limit=hot_limit).withColumnRenamed("chunk_key", "id")
+    hits = lexical.lexical_search(rows, ask, 7, broadcast_limit=limit).withColumnRenamed("chunk_key", "id")
     assert ids(hits) == lexical_brute(docs, asked, 7)
 
 
+def test_a_persisted_index_answers_again_without_texts(spark, tmp_path):
+    docs = {"a": "red green", "b": "green blue blue", "c": "", "d": "red red"}
+    rows = spark.createDataFrame(list(docs.items()), "chunk_key string, text string")
+    lexical.build_postings(rows, str(tmp_path / "p"))
+    index = lexical.Postings(spark, str(tmp_path / "p"))
+    for asked in ({1: "red"}, {1: "blue green", 2: "absent"}, {}):
+        ask = spark.createDataFrame(list(asked.items()), "query_id bigint, question string")
+        hits = lexical.search_postings(index, ask, 2)
+        assert ids(hits.withColumnRenamed("chunk_key", "id")) == lexical_brute(docs, asked, 2)
+    assert index.total() == 4 and {r.term: r.df for r in index.vocabulary.collect()} == {"red": 2, "green": 2, "blue": 1}
+    empty = lexical.build_postings(rows.limit(0), str(tmp_path / "e"))
+    assert lexical.search_postings(empty, ask).count() == 0
+
+
+def test_questions_are_cut_into_few_even_passes(spark, monkeypatch):
+    asked = spark.range(8193).selectExpr("id query_id", "'q' question")
+    parts = SE.question_passes(asked, F.octet_length("question"), 8)
+    sizes = [p.count() for p in parts]
+    assert len(parts) == 2 and sum(sizes) == 8193 and max(sizes) <= SE.QUESTIONS_PER_PASS
+    monkeypatch.setattr(SE, "QUESTIONS_PER_PASS", 100)
+    sizes = [p.count() for p in SE.question_passes(asked, F.octet_length("question"), 8)]
+    assert sum(sizes) == 8193 and max(sizes) <= 100 and len(sizes) <= 85
+
+
+def test_codes_find_the_nearest_of_many(spark, tmp_path):
+    draw = np.random.default_rng(4)
+    centres = draw.normal(size=(30, 24))
+    data = (centres[draw.integers(0, 30, 3000)] + 0.4 * draw.normal(size=(3000, 24))).astype(np.float32)
+    rows = spark.createDataFrame([(f"{i:05d}", v.tolist()) for i, v in enumerate(data)], "id string, embedding array<float>")
+    rows = rows.unionByName(spark.createDataFrame([("none", None)], rows.schema))
+    quantizer = ivf.train_quantizer(rows, 16, parts=5, sample_rows=1000)  # 24 dimensions in five parts
+    ivf.write_ivf(ivf.build_quantized(rows, quantizer), str(tmp_path / "q"))
+    lists = spark.read.parquet(str(tmp_path / "q"))
+    asked = spark.createDataFrame([(i, data[i].tolist()) for i in range(0, 3000, 100)], "query_id int, embedding array<float>")
+    exact = SE.nearest(rows, asked, 5, payload=["id"])
+    some = ivf.search_quantized(lists, asked, quantizer, 5, 5, refine=40)
+    assert ivf.recall(some, exact).first().recall > 0.85
+    every = ivf.search_quantized(lists, asked, quantizer, 16, 5, refine=600)
+    assert ids(every) == ids(exact)
+    assert lists.count() == 3000 and ivf.search_quantized(lists, asked.limit(0), quantizer, 5, 5).count() == 0
+
+
 def test_search_modes_and_full_text(spark):
     data, rows = vectors(spark)
     table = rows.withColumn("section", F.lit("s")).withColumn("language", F.lit("en")).withColumn(
