@@ -98,11 +98,6 @@ def qualified(spark: SparkSession, root: str) -> str:
     return fs.makeQualified(path).toString()
 
 
-def exists(spark: SparkSession, name: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-
-
 def _under(relpath: Column, prefixes: list[str]) -> Column:
     """Folders on the way to an allowed prefix, or below one."""
     found = F.lit(False)

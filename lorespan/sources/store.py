@@ -6,7 +6,7 @@ if no later version replaces its key. The run's record in ``commits`` comes last
 there readers do not see the version, and a run that failed is simply written anew.
 ``compact`` writes all live rows as a new base.
 
-    commits/   v, base                         which versions to read
+    commits/   v, base, source                 which versions to read; the batch a run took in
     run/v=N/   manifest row, kind              what run N had to handle: scanned or waiting
     settled/v=N/  manifest row, live, in_manifest, in_chunks
     chunks/v=N/result=R/bucket=B/              chunk rows (R=ok); documents without chunks
@@ -41,6 +41,7 @@ from .files import qualified
 
 _ROWS = CHUNKS + ", relpath string, v int, result string, bucket int"
 _SETTLED = MANIFEST + ", live boolean, in_manifest boolean, in_chunks boolean, v int"
+_COMMITS = "v int, base int, source string"
 _RUN = MANIFEST + ", kind string"
 _ROWS_PER_FILE = 1_000_000
 #: Statuses of documents that a run takes up besides what its scan finds.
@@ -112,11 +113,15 @@ class IndexStore:
 
     def current(self) -> tuple[int, int]:
         """Last committed version and the base it builds on."""
-        rows = self._read("commits", "v int, base int").collect()  # two numbers a run
+        rows = self._read("commits", _COMMITS).select("v", "base").collect()  # two numbers a run
         return max(((r["v"], r["base"]) for r in rows), default=(0, 0))
 
-    def _commit(self, version: int, base: int) -> None:
-        record = self.spark.createDataFrame([(version, base)], "v int, base int")
+    def took(self, source: str) -> bool:
+        """Whether a committed run has taken in this batch."""
+        return not self._read("commits", _COMMITS).filter(F.col("source") == source).isEmpty()
+
+    def _commit(self, version: int, base: int, source: str | None = None) -> None:
+        record = self.spark.createDataFrame([(version, base, source)], _COMMITS)
         record.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
 
     def _write(self, df: DataFrame, name: str, version: int, partitions: list[str] | None = None) -> DataFrame:
@@ -202,9 +207,10 @@ class IndexStore:
         full_listing: bool = True,
         index: bool = True,
         indexed_at: Column | None = None,
+        source: str | None = None,
     ) -> int:
         """Scan the corpus (a table or a ``FileCorpus``), index what is pending, commit. Returns
-        the version.
+        the version. ``source`` names the batch in the commit (see ``took``).
 
         Each step writes its table and the next reads it, so an executor that is lost
         costs the step at hand only. Sizes come from these writes.
@@ -225,7 +231,7 @@ class IndexStore:
         )
         scanned = manifest_rows(looked.filter((F.col("action") != "unchanged") | F.col("touched")), options.refresh_mtime)
         deleted = found.filter("gone").select("was.*").withColumn("status", F.lit("deleted"))
-        return self._advance(at, scanned.unionByName(deleted), corpus, translations, index, indexed_at)
+        return self._advance(at, scanned.unionByName(deleted), corpus, translations, index, indexed_at, source)
 
     def index_only(
         self, corpus, translations: DataFrame | None = None, indexed_at: Column | None = None
@@ -313,6 +319,7 @@ class IndexStore:
         translations: DataFrame | None,
         index: bool,
         indexed_at: Column | None,
+        source: str | None = None,
     ) -> int:
         """From the manifest rows that a scan changed to a committed version."""
         version, base = at[0] + 1, at[1]
@@ -329,7 +336,7 @@ class IndexStore:
         run, size = self._write_measured(run.select(*MANIFEST_COLUMNS, "kind"), "run", version)
         if not index:
             self._write(_flagged(run, F.lit(True), F.lit(True), F.lit(False)), "settled", version)
-            self._commit(version, base)
+            self._commit(version, base, source)
             return version
         todo = to_index(run, self.options)
         written = self._write_rows(todo, corpus, translations, version, size)
@@ -340,7 +347,7 @@ class IndexStore:
         seen = (F.col("kind") == "scanned") | handled | deleted
         rows = _flagged(done.filter(seen), ~deleted, F.lit(True), cleared | deleted)
         self._write(rows, "settled", version)
-        self._commit(version, base)
+        self._commit(version, base, source)
         return version
 
 

@@ -7,14 +7,16 @@ time is compared by its content.
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import values as V
 from ..operators.changes import pending_changes
-from ..session import broadcast_if_small, materialize
-from ..sources.files import exists
+from ..session import materialize
 from ..sources.store import IndexStore
 from ..sources.tables import latest_versions
 
@@ -34,7 +36,7 @@ def newer_versions(batch: DataFrame, store: IndexStore) -> DataFrame:
     """The last version per path, without those older than what the manifest records."""
     last = latest_versions(batch)
     # only the batch's own rows of the manifest take part in the join
-    keys = broadcast_if_small(last.select("relpath"))
+    keys = batch.select("relpath").distinct()
     known = (
         store.manifest()
         .join(keys, "relpath", "left_semi")
@@ -52,39 +54,52 @@ def _reduced(batch: DataFrame, store: IndexStore) -> DataFrame:
     return materialize(newer_versions(batch, store))
 
 
-def stream_update(
-    stream: DataFrame, store: IndexStore, checkpoint: str, translations: DataFrame | None = None
-) -> StreamingQuery:
-    """Drain what has landed: every batch runs an update of the store."""
+def _run_batches(stream: DataFrame, checkpoint: str, run: Callable[[DataFrame, str, int], None]) -> StreamingQuery:
+    """Drain what has landed. ``run`` gets each batch with its stream's id, which outlives a restart
+    from the same progress."""
+    started, known = threading.Event(), {}
 
-    def run(batch: DataFrame, _: int) -> None:
-        store.update(_reduced(batch, store), translations, full_listing=False)
+    def each(batch: DataFrame, batch_id: int) -> None:
+        started.wait()
+        run(batch, known["id"], batch_id)
 
-    return (
-        stream.writeStream.foreachBatch(run)
+    query = (
+        stream.writeStream.foreachBatch(each)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+    known["id"] = query.id
+    started.set()
+    return query
+
+
+def stream_update(
+    stream: DataFrame, store: IndexStore, checkpoint: str, translations: DataFrame | None = None
+) -> StreamingQuery:
+    """Drain what has landed: every batch runs an update of the store, which notes the batch in its
+    commit, so that a batch that is repeated is passed over."""
+
+    def run(batch: DataFrame, stream_id: str, batch_id: int) -> None:
+        source = f"{stream_id}/{batch_id}"
+        if not store.took(source):
+            store.update(_reduced(batch, store), translations, full_listing=False, source=source)
+
+    return _run_batches(stream, checkpoint, run)
 
 
 def stream_changes(stream: DataFrame, store: IndexStore, out: str, checkpoint: str) -> StreamingQuery:
     """Record the changes of every batch in ``out`` (one folder per stream and batch) and scan
-    them into the manifest, without indexing. A record that is complete is never written again:
-    when its batch is repeated, the store may hold the changes already and show none."""
+    them into the manifest, without indexing. The store commits a batch after its record is
+    complete; until then the batch is recorded anew, and afterwards never again."""
 
-    def run(batch: DataFrame, batch_id: int) -> None:
+    def run(batch: DataFrame, stream_id: str, batch_id: int) -> None:
+        source = f"{stream_id}/{batch_id}"
+        if store.took(source):
+            return
         versions = _reduced(batch, store)
-        stream_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        folder = f"{out}/stream={stream_id}/batch={batch_id}"
-        if not exists(batch.sparkSession, f"{folder}/_SUCCESS"):
-            found = pending_changes(store.scan(versions, full_listing=False))
-            found.write.mode("overwrite").parquet(folder)
-        store.update(versions, full_listing=False, index=False)
+        found = pending_changes(store.scan(versions, full_listing=False))
+        found.write.mode("overwrite").parquet(f"{out}/stream={stream_id}/batch={batch_id}")
+        store.update(versions, full_listing=False, index=False, source=source)
 
-    return (
-        stream.writeStream.foreachBatch(run)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _run_batches(stream, checkpoint, run)

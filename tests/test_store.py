@@ -267,6 +267,22 @@ def test_recorded_changes_survive_another_delivery(spark, tmp_path):
     assert {r.stream for r in spark.read.parquet(out).collect()} - {"None", None}
 
 
+def test_a_batch_that_was_taken_is_passed_over(spark, tmp_path, monkeypatch):
+    landing = str(tmp_path / "in")
+    rows = corpus(spark, a="one", b="two").select("relpath", "text", "mtime", "size", "content_hash")
+    rows.coalesce(1).write.parquet(landing)
+    store = IndexStore(spark, str(tmp_path / "s"))
+    query = ingest.stream_update(ingest.read_landing(spark, landing), store, str(tmp_path / "p"))
+    query.awaitTermination()
+    before = store.current()
+    assert store.took(f"{query.id}/0") and not store.took(f"{query.id}/1")
+    for name in ("commits/0", "commits/.0.crc"):  # as if the stream had died before it noted the batch
+        (tmp_path / "p" / name).unlink(missing_ok=True)
+    again = ingest.stream_update(ingest.read_landing(spark, landing), store, str(tmp_path / "p"))
+    again.awaitTermination()
+    assert again.id == query.id and store.current() == before
+
+
 def test_versions_without_a_time_are_compared_by_content(spark, tmp_path):
     store = IndexStore(spark, str(tmp_path / "s"))
     store.update(corpus(spark, a="one"))
