@@ -233,6 +233,12 @@ class IndexStore:
         deleted = found.filter("gone").select("was.*").withColumn("status", F.lit("deleted"))
         return self._advance(at, scanned.unionByName(deleted), corpus, translations, index, indexed_at, source)
 
+    def record(self, scanned: DataFrame, source: str | None = None) -> int:
+        """Commit what a ``scan`` of the current version found to the manifest, without indexing."""
+        found = scanned.filter((F.col("action") != "unchanged") | F.col("touched"))
+        rows = manifest_rows(found, self.options.refresh_mtime)
+        return self._advance(self.current(), rows, None, None, False, None, source)
+
     def index_only(
         self, corpus, translations: DataFrame | None = None, indexed_at: Column | None = None
     ) -> int:

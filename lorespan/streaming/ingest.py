@@ -50,8 +50,9 @@ def newer_versions(batch: DataFrame, store: IndexStore) -> DataFrame:
 
 
 def _reduced(batch: DataFrame, store: IndexStore) -> DataFrame:
-    """The versions of a batch, written once, as the steps of an update read them many times."""
-    return materialize(newer_versions(batch, store))
+    """The versions of a batch, written once, as the steps of an update read them many times. They are
+    dealt over all tasks: a batch often lands in fewer files, which Spark cannot split."""
+    return materialize(newer_versions(batch, store).repartition(store.spark.sparkContext.defaultParallelism))
 
 
 def _run_batches(stream: DataFrame, checkpoint: str, run: Callable[[DataFrame, str, int], None]) -> StreamingQuery:
@@ -97,9 +98,9 @@ def stream_changes(stream: DataFrame, store: IndexStore, out: str, checkpoint: s
         source = f"{stream_id}/{batch_id}"
         if store.took(source):
             return
-        versions = _reduced(batch, store)
-        found = pending_changes(store.scan(versions, full_listing=False))
+        scanned = materialize(store.scan(_reduced(batch, store), full_listing=False), "scanned")
+        found = pending_changes(scanned)
         found.write.mode("overwrite").parquet(f"{out}/stream={stream_id}/batch={batch_id}")
-        store.update(versions, full_listing=False, index=False, source=source)
+        store.record(scanned, source)
 
     return _run_batches(stream, checkpoint, run)

@@ -288,3 +288,32 @@ def test_versions_without_a_time_are_compared_by_content(spark, tmp_path):
     store.update(corpus(spark, a="one"))
     again = corpus(spark, a="other").withColumn("mtime", F.lit(None).cast("timestamp"))
     assert ingest.newer_versions(again, store).count() == 1
+
+
+def versions_of(spark, count):
+    rows = spark.range(0, count, 1, 1).select(
+        F.concat(F.lit("d"), F.col("id").cast("string"), F.lit(".md")).alias("relpath"),
+        F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"),
+        F.lit(T0).cast("timestamp").alias("mtime"),
+    )
+    return corpus_from_table(rows).select("relpath", "text", "mtime", "size", "content_hash")
+
+
+def test_a_batch_that_lands_in_one_file_is_dealt_over_the_tasks(spark, tmp_path):
+    versions_of(spark, 200).write.parquet(str(tmp_path / "in"))
+    reduced = ingest._reduced(spark.read.parquet(str(tmp_path / "in")), IndexStore(spark, str(tmp_path / "s")))
+    assert reduced.count() == 200 and len(reduced.inputFiles()) >= 4
+
+
+def test_changes_of_a_batch_are_looked_at_once(spark, tmp_path, monkeypatch):
+    versions_of(spark, 20).write.parquet(str(tmp_path / "in"))
+    store = IndexStore(spark, str(tmp_path / "s"))
+
+    def again(*_, **__):
+        raise AssertionError("the texts are read a second time")
+
+    monkeypatch.setattr("lorespan.sources.store.look_at", again)
+    stream = ingest.read_landing(spark, str(tmp_path / "in"))
+    ingest.stream_changes(stream, store, str(tmp_path / "out"), str(tmp_path / "p")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 20
+    assert set(statuses(store).values()) == {"pending_index"} and len(statuses(store)) == 20
