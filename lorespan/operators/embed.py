@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
 _NOT_WORD = r"[^\pL\pN]+"
 
 
@@ -40,22 +39,38 @@ class ModelEmbedder:
         return lambda texts: np.asarray(encode([str(t) for t in texts]), dtype=np.float32)
 
 
+class _WordPlaces(dict):
+    """Twice the place of each word, plus one if its sign is positive, kept for a bounded number
+    of words."""
+
+    LIMIT = 200_000
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        digest = hashlib.md5(word).digest()
+        self[word] = code = int.from_bytes(digest[:4], "big") % self.dim * 2 + (digest[4] < 128)
+        return code
+
+
 class HashEmbedder:
     """Signed feature hashing of words to unit vectors: needs no model, always the same. A batch
-    is one scatter: its words are numbered together, each distinct word is hashed once, and signs
+    is one scatter: its words are numbered together, each distinct word is looked up once, and signs
     are added up by (text, place)."""
 
     def __init__(self, dim: int = 64):
         self.dim = dim
 
     def make_predict_fn(self):
-        dim = self.dim
+        dim, codes = self.dim, _WordPlaces(self.dim)
 
         def places(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-            digests = [hashlib.md5(w).digest()[:5] for w in words.cast(pa.binary()).to_pylist()]
-            head = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 5)
-            number = head[:, :4].astype(np.int64) @ np.array([1 << 24, 1 << 16, 1 << 8, 1])
-            return number % dim, np.where(head[:, 4] < 128, 1.0, -1.0)
+            found = words.cast(pa.large_binary()).to_pylist()
+            code = np.fromiter(map(codes.__getitem__, found), np.int64, len(found))
+            return code >> 1, np.where(code & 1, 1.0, -1.0)
 
         def predict(texts: np.ndarray) -> np.ndarray:
             lowered = pa.array([str(t).lower() for t in texts], pa.large_string())

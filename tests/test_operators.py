@@ -511,3 +511,19 @@ def test_date_filter_reaches_the_scan(spark, tmp_path):
     kept = SE.filter_after(spark.read.parquet(str(tmp_path / "t")), "2024-01-01")
     assert "GreaterThanOrEqual(date,2024-01-01)" in kept._jdf.queryExecution().executedPlan().toString()
     assert [r.id for r in kept.collect()] == ["a"]
+
+
+def test_a_word_is_hashed_once_over_batches(monkeypatch):
+    import hashlib
+
+    from lorespan.operators import embed as E
+
+    texts = [np.array([f"one two w{i} ", "", "two two"], dtype=object) for i in range(5)]
+    seen, md5 = [], hashlib.md5
+    monkeypatch.setattr(E.hashlib, "md5", lambda w: seen.append(w) or md5(w))
+    model = HashEmbedder(16).make_predict_fn()
+    many = [model(t) for t in texts]
+    assert len(seen) == len(set(seen)) == 7
+    monkeypatch.setattr(E._WordPlaces, "LIMIT", 2)
+    model = HashEmbedder(16).make_predict_fn()
+    assert all((model(t) == m).all() for t, m in zip(texts, many))
