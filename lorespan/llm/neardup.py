@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import measured_bytes
+from ..session import bound_batches, measured_bytes
 from .common import carried, column, written
 
 BANDS, BINS_PER_BAND = 40, 5
@@ -134,6 +134,7 @@ def signatures(docs: DataFrame, k: int, id_col: str, text: str) -> DataFrame:
                 ["doc_id", "n_shingles", "set_key", "bands"],
             )
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(column(docs, id_col).cast("bigint").alias("doc_id"), column(docs, text).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>")
 

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import bound_batches
+
 _NOT_WORD = r"[^\pL\pN]+"
 
 
@@ -96,6 +98,7 @@ def embed(
     df: DataFrame, text: str, embedder: Embedder, out: str = "embedding", batch_size: int = 512
 ) -> DataFrame:
     """Add the vector of a text column. Rows without text get NULL."""
+    bound_batches(df.sparkSession)
     model = predict_batch_udf(
         embedder.make_predict_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size
     )

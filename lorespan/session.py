@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+#: What goes to a Python worker at once, where the session leaves Spark's own bound of 64 MB.
+BATCH_BYTES = 4 * 1024 * 1024
 
 
 def local_session(cpus: int | str = 8, app: str = "lorespan", memory: str = "12g") -> SparkSession:
@@ -29,6 +31,14 @@ def local_session(cpus: int | str = 8, app: str = "lorespan", memory: str = "12g
     )
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep the batches that whole texts travel in small, on both sides of the worker's socket: a
+    worker holds several copies of one. A bound that the session has chosen stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the one the cluster names, else one in the
     warehouse. A folder of one machine is refused where executors run on others."""

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import values as V
-from ..session import broadcast_if_small, materialize, new_path
+from ..session import bound_batches, broadcast_if_small, materialize, new_path
 
 _BATCH_BYTES = 32 * 1024 * 1024
 _BATCH_ROWS = 10_000
@@ -310,5 +310,6 @@ def write_tree(docs: DataFrame, folder: str) -> None:
                     out.write((text or "").encode())
             yield pd.DataFrame({"n": [len(frame)]})
 
+    bound_batches(docs.sparkSession)
     folder = qualified(docs.sparkSession, folder)
     materialize(docs.select("relpath", "text").mapInPandas(run, "n bigint"), "tree")

@@ -527,3 +527,30 @@ def test_a_word_is_hashed_once_over_batches(monkeypatch):
     monkeypatch.setattr(E._WordPlaces, "LIMIT", 2)
     model = HashEmbedder(16).make_predict_fn()
     assert all((model(t) == m).all() for t, m in zip(texts, many))
+
+
+@pytest.mark.parametrize("step", ["embed", "write_tree", "signatures"])
+def test_texts_reach_a_worker_in_small_batches(spark, tmp_path, step):
+    import pyarrow as pa
+
+    from lorespan.llm import neardup
+    from lorespan.session import BATCH_BYTES
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.range(0, 2000, 1, 1).select(
+        F.col("id").cast("string").alias("relpath"), F.repeat(F.lit("some words "), 1000).alias("text"))
+
+    def largest(batches):
+        yield pa.RecordBatch.from_pydict({"n": [max(b.nbytes for b in batches)]})
+
+    spark.conf.unset(name)
+    {
+        "embed": lambda: embed(rows, "text", HashEmbedder(4)),
+        "write_tree": lambda: files.write_tree(rows.limit(3), str(tmp_path / "tree")),
+        "signatures": lambda: neardup.signatures(rows, 4, "relpath", "text"),
+    }[step]()
+    assert rows.mapInArrow(largest, "n bigint").first().n < 2 * BATCH_BYTES
+    spark.conf.set(name, "32m")
+    embed(rows, "text", HashEmbedder(4))
+    assert spark.conf.get(name) == "32m"
+    spark.conf.unset(name)
