@@ -165,7 +165,7 @@ def pack(
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):  # so many documents are held at a time
                 some = batch.slice(i, 1000)
-                for doc, ids in zip(some.column(0).to_pylist(), finished(encoder, some.column(1).to_pylist(), end)):
+                for doc, ids in zip(some.column(0).to_pylist(), finished(encoder, some.column(1), end)):
                     packer.add(doc, ids)
                 packer.close()
                 if groups := packer.full():

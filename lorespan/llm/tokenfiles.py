@@ -52,7 +52,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, spaces: str, end: int) ->
         encoder, samples, size = Encoder.of(tokenizer, spaces), [], 0
         kind = _width(encoder, end)
         for batch in batches:
-            for ids in finished(encoder, batch.column(0).to_pylist(), end):
+            for ids in finished(encoder, batch.column(0), end):
                 if size + len(ids) * kind.itemsize <= SAMPLE_BYTES:
                     samples.append(ids.astype(kind).tobytes())
                     size += len(samples[-1])
@@ -96,7 +96,7 @@ def write(
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 some = batch.slice(i, 1000)
-                for doc, tokens in zip(some.column(0).to_pylist(), finished(encoder, some.column(1).to_pylist(), end)):
+                for doc, tokens in zip(some.column(0).to_pylist(), finished(encoder, some.column(1), end)):
                     if out is None:
                         fs.create_dir(path, recursive=True)
                         out = fs.open_output_stream(file_system(name)[1])

@@ -1,30 +1,107 @@
 """Token ids by a public tokenizer, encoded piece by piece with a bounded memory of pieces.
 
 The pre-tokenizers in use never join characters across the places where a text is cut here, so
-the ids of a text are those of its pieces in order; equal pieces are encoded once. Texts are cut,
-and their distinct pieces found, by Arrow in groups of texts.
+the ids of a text are those of its pieces in order; equal pieces are encoded once. Texts are cut
+by their bytes, and their distinct pieces found by Arrow, in groups of texts.
 
 `drop`: the tokenizer drops white space; cut at ASCII white space.
 `keep`: byte-level pre-tokenizer; a space belongs to the word after it, so cut before a single
-space, and around a single line feed, between other characters.
+space between other characters.
+
+Where the tokenizer's file holds a pre-tokenizer of `KNOWN`, texts are cut into runs of letters,
+digits and signs too, as that one does, and at all ASCII white space that it parts. Runs of Latin
+letters are then what its BPE model takes, and go to the model alone. Any other piece, and a text
+that holds an added token, goes through the whole tokenizer.
 """
 
 from __future__ import annotations
 
+import codecs
+import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLOW = re.compile(r"\A\s|\s\s|\s\Z")
-CUT = re.compile(r"(?<=\S)(?= \S)")
 #: So many distinct pieces are remembered by a worker; then the less used half is forgotten.
 PIECES = 400_000
-#: Texts are encoded in groups of about so many characters.
-GROUP_CHARS = 4_000_000
+#: Texts are encoded in groups of about so many bytes.
+GROUP_BYTES = 4_000_000
+
+#: What a byte belongs to. LETTER: A-Z, a-z and the letters of U+00C0 to U+00FF, which no normal form
+#: changes. UNSURE: white space beyond ASCII and control characters; nothing is cut beside these.
+SPACE, LINE, LETTER, DIGIT, SIGN, QUOTE, OTHER, UNSURE = range(8)
+CLASS = np.full(256, OTHER, np.uint8)
+CLASS[:128] = SIGN
+CLASS[:32], CLASS[127] = UNSURE, UNSURE
+CLASS[9:14], CLASS[32], CLASS[39] = LINE, SPACE, QUOTE
+CLASS[48:58], CLASS[65:91], CLASS[97:123] = DIGIT, LETTER, LETTER
+#: Cut between two bytes of these classes; a quote may begin "'s" or end a run of signs.
+RUNS = np.zeros((8, 8), bool)
+RUNS[LETTER, [DIGIT, SIGN, QUOTE]] = RUNS[DIGIT, [LETTER, SIGN, QUOTE]] = True
+RUNS[SIGN, [LETTER, DIGIT]] = RUNS[QUOTE, DIGIT] = True
+#: First bytes of white space beyond ASCII.
+WIDE = np.zeros(256, bool)
+WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+")
+
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+CONTRACTED = "'s|'t|'re|'ve|'m|'ll|'d|"
+SPLIT = {
+    "type": "Split",
+    "pattern": {"Regex": CONTRACTED + r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+    "behavior": "Removed",
+    "invert": True,
+}
+FORMS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+#: Normalizers and pre-tokenizers, but for offsets, that part runs of letters, digits and signs.
+KNOWN = {
+    "drop": (
+        {"type": "Sequence", "normalizers": FORMS},
+        {"type": "Sequence", "pretokenizers": [SPLIT, BYTE_LEVEL | {"use_regex": False}]},
+    ),
+    "keep": (None, BYTE_LEVEL),
+}
+
+
+def _byte_letters() -> str:
+    """The characters that stand for the bytes 0 to 255 in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return "".join(chr(b) if b in shown else chr(next(hidden)) for b in range(256))
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+def _without_offsets(part):
+    if isinstance(part, dict):
+        return {k: _without_offsets(v) for k, v in part.items() if k != "trim_offsets"}
+    return [_without_offsets(v) for v in part] if isinstance(part, list) else part
+
+
+def _widths(config: dict, spaces: str) -> np.ndarray | None:
+    """How many bytes each id of the model stands for; None where runs are not known to be cut as
+    this tokenizer does, or the model does not merge plain bytes."""
+    model, added = config["model"], config["added_tokens"]
+    if (_without_offsets(config["normalizer"]), _without_offsets(config["pre_tokenizer"])) != KNOWN[spaces]:
+        return None
+    if model["type"] != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix"):
+        return None
+    if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+        return None
+    if any(LETTERS.fullmatch(t["content"].encode()) for t in added):  # a piece would hide it
+        return None
+    vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+    if not all(c + s in vocab for c in BYTE_LETTERS for s in {"", suffix}):
+        return None
+    widths = np.zeros(max(vocab.values()) + 1, np.int64)
+    for token, i in vocab.items():
+        widths[i] = len(token.removesuffix(suffix))
+    return widths
 
 
 class Encoder:
@@ -42,72 +119,134 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = {"drop": self._dropping, "keep": self._keeping}[spaces]
-        self.index: dict[str, int] = {}
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        self.keep = {"drop": False, "keep": True}[spaces]
+        self.widths = _widths(config, spaces)
+        self.added = [t["content"] for t in config["added_tokens"]]
+        self.lower = self.widths is not None and config["normalizer"] is not None
+        self.model = Tokenizer(self.tokenizer.model)
+        self.index: dict[bytes, int] = {}
         self.ids = np.empty(1 << 16, np.uint32)
         self.start = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int64)
         self.uses = np.zeros(1 << 16, np.int64)
         self.used = 0
 
+    def _coarse(self, texts: pa.Array) -> np.ndarray:
+        """Which texts are cut at white space alone."""
+        if self.widths is None:
+            return np.ones(len(texts), bool)
+        found = np.zeros(len(texts), bool)
+        for token in self.added:
+            found |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        return found
+
     @staticmethod
-    def _dropping(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
-        """The pieces of all texts, and how many each has."""
-        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
-        pieces, counts = split.flatten(), pc.list_value_length(split).to_numpy()
-        filled = pc.not_equal(pieces, "")
-        text = np.repeat(np.arange(len(texts)), counts)[filled.to_numpy(zero_copy_only=False)]
-        return pieces.filter(filled), np.bincount(text, minlength=len(texts))
+    def _classes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The class of each byte, and where second bytes of letters beyond ASCII are."""
+        kind = CLASS[data]
+        second = np.flatnonzero(data == 0xC3) + 1
+        second = second[(data[second] != 0x97) & (data[second] != 0xB7)]
+        kind[second - 1] = kind[second] = LETTER
+        first = np.flatnonzero(WIDE[data])
+        if len(first):
+            size = np.where(data[first] == 0xC2, 2, 3)
+            code = (data[first].astype(np.int64) << 16) | (data[first + 1].astype(np.int64) << 8)
+            code |= np.where(size == 3, data[np.minimum(first + 2, len(data) - 1)], 0)
+            seen, at = np.unique(code, return_inverse=True)
+            wide = [c.to_bytes(3).removesuffix(b"\0").decode().isspace() for c in seen.tolist()]
+            odd = np.array(wide)[at]
+            for k in range(3):
+                kind[first[odd & (size > k)] + k] = UNSURE
+        return kind, second
+
+    def _cuts(self, kind: np.ndarray, starts: np.ndarray, ends: np.ndarray, coarse: np.ndarray) -> np.ndarray:
+        """Where pieces begin, given where the texts that are not empty begin and end."""
+        white, solid = kind <= LINE, (kind >= LETTER) & (kind <= OTHER)
+        before, after = kind[:-1], kind[1:]
+        cut = np.zeros(len(kind), bool)
+        cut[1:] = RUNS.ravel()[(before << 3) | after]
+        if self.keep:
+            then = np.append(solid[1:], False)  # something solid follows in the text
+            then[ends - 1] = False
+            sure = np.append(True, kind[:-1] != UNSURE)  # nothing unsure precedes in the text
+            sure[starts] = True
+            cut[1:] |= white[1:] & (solid[:-1] | (white[:-1] & then[1:]))
+            cut[1:] |= (before == LINE) & sure[:-1] & solid[1:]
+            plain = np.append(False, solid[:-1]) & (kind == SPACE) & then
+        else:
+            plain = np.append(True, white[1:] != white[:-1])
+            cut |= plain
+        if coarse.any():
+            cut &= plain | np.repeat(~coarse, ends - starts)
+        cut[starts] = True
+        return np.flatnonzero(cut)
 
     @staticmethod
-    def _keeping(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
-        """Likewise; a piece that begins with a line feed is what follows it, any other a space and
-        itself."""
-        plain = np.array([not SLOW.search(t) and t != "" for t in texts], bool)
-        lines = pa.array([t for t, p in zip(texts, plain) if p], pa.large_string())
-        lines = pc.replace_substring(lines, "\n", " \n\n \n")
-        split = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), lines, pa.scalar("", pa.large_string())), " ")
-        counts = np.zeros(len(texts), np.int64)
-        counts[plain] = pc.list_value_length(split).to_numpy()
-        if plain.all():
-            return split.flatten(), counts
-        odd = [["\n" + x for x in CUT.split(t)] if t else [] for t, p in zip(texts, plain) if not p]
-        counts[~plain] = [len(x) for x in odd]
-        both = pa.concat_arrays([split.flatten(), pa.array([x for xs in odd for x in xs], pa.large_string())])
-        # pieces in the order of their texts
-        ends = np.cumsum(counts)
-        first = np.zeros(len(texts), np.int64)
-        first[plain] = np.cumsum(counts[plain]) - counts[plain]
-        first[~plain] = counts[plain].sum() + np.cumsum(counts[~plain]) - counts[~plain]
-        order = np.repeat(first - (ends - counts), counts) + np.arange(len(both))
-        return both.take(pa.array(order)), counts
-
-    def _literal(self, piece: str) -> str:
-        if self.split is self._dropping:
-            return piece
-        return piece[1:] if piece[0] == "\n" else " " + piece
+    def _lowered(data: np.ndarray, kind: np.ndarray, second: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Pieces that are Latin letters alone in lower case; others may hold marks or added tokens."""
+        low = np.repeat(np.maximum.reduceat(kind, at) == LETTER, np.diff(at, append=len(data)))
+        data = data + (low & (data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
+        second = second[low[second] & (data[second] <= 0x9E)]
+        data[second] += 32
+        return data
+
+    def _split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all texts, and how many each has."""
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        if offsets[0] == offsets[-1]:
+            return pa.array([], pa.large_binary()), np.zeros(len(texts), np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        filled = offsets[1:] > offsets[:-1]
+        kind, second = self._classes(data)
+        coarse = self._coarse(texts)
+        at = self._cuts(kind, offsets[:-1][filled], offsets[1:][filled], coarse[filled])
+        if self.lower:
+            data = self._lowered(data, kind, second, at)
+        size = np.diff(at, append=len(data))
+        if not self.keep:
+            at, size = at[kind[at] > LINE], size[kind[at] > LINE]
+            data = data[kind > LINE]
+        buffers = [None, pa.py_buffer(np.append(0, np.cumsum(size))), pa.py_buffer(data)]
+        return pa.Array.from_buffers(pa.large_binary(), len(at), buffers), np.diff(np.searchsorted(at, offsets))
 
     def _grow(self, name: str, size: int) -> None:
         held = getattr(self, name)
         if size > len(held):
             setattr(self, name, np.resize(held, max(size, 2 * len(held))))
 
-    def _learn(self, new: list[str]) -> None:
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            # pieces are words of one input, so that there is one result for all of them
-            found = self.tokenizer.encode([self._literal(p) for p in part], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, np.uint32)
-            count = np.bincount(np.array(found.word_ids, np.int64), minlength=len(part))
-            k = len(self.index)
-            for name in ("start", "count", "uses"):
-                self._grow(name, k + len(part))
-            self._grow("ids", self.used + len(ids))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.count[k : k + len(part)], self.uses[k : k + len(part)] = count, 0
-            self.start[k : k + len(part)] = self.used + np.cumsum(count) - count
-            self.used += len(ids)
-            self.index.update(zip(part, range(k, k + len(part))))
+    def _whole(self, part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, and how many each has, by the whole tokenizer. Pieces are words of one
+        input, so that there is one result for all of them."""
+        found = self.tokenizer.encode([p.decode() for p in part], is_pretokenized=True, add_special_tokens=False)
+        return np.array(found.ids, np.uint32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(part))
+
+    def _letters(self, part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for runs of letters, by the model alone; the widths of ids tell words apart."""
+        words = [codecs.charmap_decode(p, "strict", BYTE_LETTERS)[0] for p in part]
+        found = self.model.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0]
+        ids = np.array(found.ids, np.uint32)
+        ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(p) for p in part])) + 1
+        return ids, np.diff(ends, prepend=0)
+
+    def _learn(self, new: list[bytes]) -> None:
+        fast = [self.widths is not None and LETTERS.fullmatch(p) is not None for p in new]
+        for which, by in ((True, self._letters), (False, self._whole)):
+            kind = [p for p, f in zip(new, fast) if f is which]
+            for i in range(0, len(kind), 5_000):
+                part = kind[i : i + 5_000]
+                ids, count = by(part)
+                k = len(self.index)
+                for name in ("start", "count", "uses"):
+                    self._grow(name, k + len(part))
+                self._grow("ids", self.used + len(ids))
+                self.ids[self.used : self.used + len(ids)] = ids
+                self.count[k : k + len(part)], self.uses[k : k + len(part)] = count, 0
+                self.start[k : k + len(part)] = self.used + np.cumsum(count) - count
+                self.used += len(ids)
+                self.index.update(zip(part, range(k, k + len(part))))
 
     def _ids_of(self, at: np.ndarray) -> np.ndarray:
         """The ids of pieces, one after the other."""
@@ -125,11 +264,13 @@ class Encoder:
         self.uses[: len(keep)] = self.uses[keep] // 2
         self.count[: len(keep)], self.start[: len(keep)] = count, np.cumsum(count) - count
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """One array of ids (uint32) for each text."""
-        pieces, counts = self.split(texts)
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_string())
+        pieces, counts = self._split(texts)
         if not len(pieces):
-            return [np.empty(0, np.uint32) for _ in texts]
+            return [np.empty(0, np.uint32) for _ in range(len(texts))]
         coded = pieces.dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.index) > PIECES:
@@ -144,21 +285,12 @@ class Encoder:
         return np.split(ids, ends[np.cumsum(counts)[:-1]])
 
 
-def encoded(encoder: Encoder, texts: list[str | None]) -> Iterator[np.ndarray]:
-    """Ids of each text, in order, encoded in groups of bounded size."""
-    group: list[str] = []
-    chars = 0
-    for t in texts:
-        group.append(t or "")
-        chars += len(group[-1])
-        if chars >= GROUP_CHARS:
-            yield from encoder.encode(group)
-            group, chars = [], 0
-    if group:
-        yield from encoder.encode(group)
-
-
-def finished(encoder: Encoder, texts: Iterable[str | None], end: int) -> Iterator[np.ndarray]:
-    """The same with an end id after each text."""
-    for ids in encoded(encoder, list(texts)):
-        yield np.append(ids, np.uint32(end))
+def finished(encoder: Encoder, texts: pa.Array, end: int) -> Iterator[np.ndarray]:
+    """Ids of each text (none of a null), in order, with an end id after them; encoded in groups of
+    bounded size."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    group = pc.binary_length(texts).to_numpy().cumsum() // GROUP_BYTES
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    for first, last in zip(starts, [*starts[1:], len(texts)]):
+        for ids in encoder.encode(texts.slice(first, last - first)):
+            yield np.append(ids, np.uint32(end))

@@ -1,6 +1,7 @@
 """Each registered query beside its SQL, or beside a brute-force version."""
 
 import hashlib
+import json
 import math
 import re
 import zlib
@@ -109,6 +110,59 @@ def test_pieces_give_the_ids_of_whole_texts(file, spaces, monkeypatch):
     assert len(encoder.index) < 1000
 
 
+MORE = ["'", "'re", "'LL", ",", "Ünder", "ÀÈ", "×", "\u0301", "\u0338", "J\u030c", "—", "\u2003", "\u200b", "\x00", "\x7f", "٣", "5", "œ", "Σ",
+        "K", "\u2028", "\v", "привет", "ſ", "’", " '", "Þ", "ÿ", "-", "<"]
+FILES = [("word_bpe_49k.json", "drop"), ("byte_bpe_50k.json", "keep")]
+
+
+def same_as_whole(path, encoder, seed):
+    whole, draw = Tokenizer.from_file(path), np.random.default_rng(seed)
+    for _ in range(100):
+        some = draw.choice([*BITS, *MORE], draw.integers(1, len(BITS)), replace=False)
+        texts = ["".join(draw.choice(some, draw.integers(0, 14))) for _ in range(50)]
+        for text, ids in zip(texts, encoder.encode(texts)):
+            assert whole.encode(text, add_special_tokens=False).ids == ids.tolist(), text
+
+
+@pytest.mark.parametrize("file, spaces", FILES)
+def test_runs_of_letters_are_learned_once(file, spaces):
+    """Signs around a word and, where case is dropped, its case make no new piece; words go to the model alone."""
+    encoder, learned = tokens.Encoder(tokenizer_path(file), spaces), []
+    by_whole = encoder._whole
+    encoder._whole = lambda part: learned.extend(part) or by_whole(part)
+    words, signs = ["thention", "Erst", "erst", "ciónes", "ÜBER", "über"], [".", ",", "###", "!?", "***", ");", "%%%"]
+    text = " ".join(a + w + b for w in words for a in ["", *signs] for b in ["", *signs])
+    assert encoder.encode([text])[0].tolist() == Tokenizer.from_file(tokenizer_path(file)).encode(text, add_special_tokens=False).ids
+    assert len(encoder.index) <= 2 * (len(words) + len(signs))
+    assert learned and not any(c.isalpha() for p in learned for c in p.decode())
+
+
+@pytest.mark.parametrize("file, spaces", FILES)
+def test_runs_give_the_ids_of_whole_texts(file, spaces):
+    same_as_whole(tokenizer_path(file), tokens.Encoder(tokenizer_path(file), spaces), 6)
+
+
+@pytest.mark.parametrize("file, spaces", FILES)
+def test_other_tokenizers_are_cut_at_white_space_alone(file, spaces, tmp_path):
+    """An added token of letters would be hidden in a word, and another pattern may join runs."""
+    config = json.loads(open(tokenizer_path(file), encoding="utf-8").read())
+    config["added_tokens"].append({**config["added_tokens"][0], "id": 60_000, "content": "word"})
+    letters = tmp_path / "letters.json"
+    letters.write_text(json.dumps(config), encoding="utf-8")
+    config["added_tokens"].pop()
+    joined = {"type": "Split", "pattern": {"Regex": r"\s?\S+|\s+"}, "behavior": "Isolated", "invert": False}
+    config["normalizer"] = None
+    config["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [joined, {**tokens.BYTE_LEVEL, "use_regex": False, "trim_offsets": True}]}
+    if spaces == "drop":
+        config["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, config["pre_tokenizer"]["pretokenizers"][1]]}
+    pattern = tmp_path / "pattern.json"
+    pattern.write_text(json.dumps(config), encoding="utf-8")
+    for path in (letters, pattern):
+        encoder = tokens.Encoder(str(path), spaces)
+        assert encoder.widths is None
+        same_as_whole(str(path), encoder, 7)
+
+
 def test_tiers_and_groups_of_packed_windows(spark):
     words = [" ".join(["w"] * n) for n in (5, 100, 300, 700, 1500, 2500, 5000)] * 40
     docs = spark.createDataFrame(list(enumerate(words)), "doc_id bigint, text string").coalesce(1)
