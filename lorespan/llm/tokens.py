@@ -21,6 +21,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ RUNS[SIGN, [LETTER, DIGIT]] = RUNS[QUOTE, DIGIT] = True
 #: First bytes of white space beyond ASCII.
 WIDE = np.zeros(256, bool)
 WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
-LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+")
+LETTERS = re.compile(r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
 
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 CONTRACTED = "'s|'t|'re|'ve|'m|'ll|'d|"
@@ -75,6 +76,7 @@ def _byte_letters() -> str:
 
 
 BYTE_LETTERS = _byte_letters()
+JOINED_LETTERS = BYTE_LETTERS[:10] + "\n" + BYTE_LETTERS[11:]
 
 
 def _without_offsets(part):
@@ -93,7 +95,7 @@ def _widths(config: dict, spaces: str) -> np.ndarray | None:
         return None
     if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
         return None
-    if any(LETTERS.fullmatch(t["content"].encode()) for t in added):  # a piece would hide it
+    if any(LETTERS.fullmatch(t["content"]) for t in added):  # a piece would hide it
         return None
     vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
     if not all(c + s in vocab for c in BYTE_LETTERS for s in {"", suffix}):
@@ -187,9 +189,11 @@ class Encoder:
     def _lowered(data: np.ndarray, kind: np.ndarray, second: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Pieces that are Latin letters alone in lower case; others may hold marks or added tokens."""
         low = np.repeat(np.maximum.reduceat(kind, at) == LETTER, np.diff(at, append=len(data)))
-        data = data + (low & (data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
-        second = second[low[second] & (data[second] <= 0x9E)]
-        data[second] += 32
+        upper = np.flatnonzero((data - np.uint8(65)) < 26)
+        second = second[data[second] <= 0x9E]
+        data = data.copy()
+        for some in (upper, second):
+            data[some[low[some]]] += 32
         return data
 
     def _split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -225,18 +229,26 @@ class Encoder:
 
     def _letters(self, part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The same for runs of letters, by the model alone; the widths of ids tell words apart."""
-        words = [codecs.charmap_decode(p, "strict", BYTE_LETTERS)[0] for p in part]
+        words = codecs.charmap_decode(b"\n".join(part), "strict", JOINED_LETTERS)[0].split("\n")
         found = self.model.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0]
         ids = np.array(found.ids, np.uint32)
         ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(p) for p in part])) + 1
         return ids, np.diff(ends, prepend=0)
 
-    def _learn(self, new: list[bytes]) -> None:
-        fast = [self.widths is not None and LETTERS.fullmatch(p) is not None for p in new]
-        for which, by in ((True, self._letters), (False, self._whole)):
-            kind = [p for p, f in zip(new, fast) if f is which]
-            for i in range(0, len(kind), 5_000):
-                part = kind[i : i + 5_000]
+    def _plain(self, pieces: pa.Array) -> np.ndarray:
+        """Which pieces are runs of letters, in `keep` with a space before them or not."""
+        if self.widths is None:
+            return np.zeros(len(pieces), bool)
+        offsets = np.frombuffer(pieces.buffers()[1], np.int64)[: len(pieces) + 1]
+        kind, _ = self._classes(np.frombuffer(pieces.buffers()[2], np.uint8)[: offsets[-1]])
+        other = kind != LETTER
+        other[offsets[:-1]] &= kind[offsets[:-1]] != SPACE
+        return ~np.logical_or.reduceat(other, offsets[:-1]) & (kind[offsets[1:] - 1] == LETTER)
+
+    def _learn(self, letters: list[bytes], others: list[bytes]) -> None:
+        for new, by in ((letters, self._letters), (others, self._whole)):
+            for i in range(0, len(new), 5_000):
+                part = new[i : i + 5_000]
                 ids, count = by(part)
                 k = len(self.index)
                 for name in ("start", "count", "uses"):
@@ -272,11 +284,14 @@ class Encoder:
         if not len(pieces):
             return [np.empty(0, np.uint32) for _ in range(len(texts))]
         coded = pieces.dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.index) > PIECES:
             self._forget()
-        self._learn([w for w in words if w not in self.index])
-        place = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        place = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        plain = self._plain(coded.dictionary)
+        new = [np.flatnonzero((place < 0) & which) for which in (plain, ~plain)]
+        place[np.concatenate(new)] = len(self.index) + np.arange(len(new[0]) + len(new[1]))
+        self._learn(*([words[i] for i in some.tolist()] for some in new))
         number = coded.indices.to_numpy()
         self.uses[place] += np.bincount(number, minlength=len(words))
         at = place[number]
@@ -289,6 +304,7 @@ def finished(encoder: Encoder, texts: pa.Array, end: int) -> Iterator[np.ndarray
     """Ids of each text (none of a null), in order, with an end id after them; encoded in groups of
     bounded size."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts.validate(full=True)  # bytes that are not UTF-8 are refused
     group = pc.binary_length(texts).to_numpy().cumsum() // GROUP_BYTES
     starts = np.flatnonzero(np.diff(group, prepend=-1))
     for first, last in zip(starts, [*starts[1:], len(texts)]):

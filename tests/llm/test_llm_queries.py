@@ -10,6 +10,7 @@ from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -142,6 +143,13 @@ def test_runs_give_the_ids_of_whole_texts(file, spaces):
     same_as_whole(tokenizer_path(file), tokens.Encoder(tokenizer_path(file), spaces), 6)
 
 
+def test_bytes_that_are_no_text_are_refused():
+    encoder = tokens.Encoder(tokenizer_path("byte_bpe_50k.json"), "keep")
+    with pytest.raises(pa.ArrowInvalid):
+        list(tokens.finished(encoder, pa.array([b"one", b"two \xc3a"]).view(pa.string()), 0))
+    assert [len(x) for x in tokens.finished(encoder, pa.array(["one", None, ""], pa.string()), 0)] == [2, 1, 1]
+
+
 @pytest.mark.parametrize("file, spaces", FILES)
 def test_other_tokenizers_are_cut_at_white_space_alone(file, spaces, tmp_path):
     """An added token of letters would be hidden in a word, and another pattern may join runs."""
